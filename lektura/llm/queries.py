@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lektura.llm.common import table
 from lektura.llm.exact_dedup import exact_dedup
+from lektura.llm.mixing import mix_sources
+from lektura.llm.packing import pack
 from lektura.llm.simhash import simhash_near_dups
 
 
@@ -19,7 +21,15 @@ def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_near_dups(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_exact_dedup, op4_simhash_near_dedup)}
+def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(table(spark, sf_dir, "documents"))
+
+
+def op8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_exact_dedup, op4_simhash_near_dedup, op6_mix_sources, op8_pack)}
 
 ORACLE_SQL: dict[str, str] = {
     "op1_exact_dedup": r"""

@@ -52,8 +52,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             fps = np.fromiter((fingerprint(t, width) for t in batch["text"]), np.uint64, len(batch))
             yield pd.DataFrame({"id": batch["id"], "fp": fps.view(np.int64)})
 
-    kind = dict(docs.dtypes)[id_col]
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(each, f"id {kind}, fp long")
+    found = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text")).mapInPandas(each, "id string, fp long")
+    return found.withColumn("id", F.col("id").cast(docs.schema[id_col].dataType))  # pandas has no long with nulls
 
 
 def covering_masks(radius: int, positions: list[int]) -> list[int]:
