@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from lektura.llm.common import WORDS, cut
 
-DIGITS, LEVELS = 4, 3  # 4 hex digits a level: 65,536 buckets; 12 digits in all
+DIGITS, LEVELS = 3, 4  # 3 hex digits a level: 4096 buckets; 12 digits in all
 SOURCES_TO_BROADCAST = 100_000
 
 

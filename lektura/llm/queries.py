@@ -2,21 +2,38 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lektura.llm.common import table
+from lektura.llm.common import shared_dir, table
 from lektura.llm.exact_dedup import exact_dedup
+from lektura.llm.langid import language_id
+from lektura.llm.line_dedup import HTML_STEPS, host_of, html_lines, line_dedup
 from lektura.llm.mixing import mix_sources
 from lektura.llm.packing import pack
 from lektura.llm.simhash import simhash_near_dups
+from lektura.llm.token_rollup import documents_rollup
+from lektura.llm.toxicity import toxicity
+from lektura.llm.vptree import nearest
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup(table(spark, sf_dir, "pages"), host_of(F.col("url")), html_lines(F.col("html")))
+    names = {"_host": "host", "_host_pages": "host_pages", "_lines": "lines", "_dropped": "dropped", "_kept": "text"}
+    return found.select("page_id", *[F.col(c).alias(n) for c, n in names.items()])
+
+
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_near_dups(table(spark, sf_dir, "documents"))
 
@@ -25,15 +42,56 @@ def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op7_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents_rollup(table(spark, sf_dir, "documents"), f"{shared_dir(spark)}/rollup-{uuid.uuid4().hex}")
+
+
 def op8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_exact_dedup, op4_simhash_near_dedup, op6_mix_sources, op8_pack)}
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id(table(spark, sf_dir, "documents"))
+
+
+def op10_vptree_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return nearest(vectors, vectors.where("vec_id % 20 = 0"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (op1_exact_dedup, op2_toxicity, op3_line_dedup, op4_simhash_near_dedup, op6_mix_sources, op7_token_rollup, op8_pack, op9_language_id, op10_vptree_nearest)
+}
+
+
+def _html_sql(column: str) -> str:
+    for pattern, by in HTML_STEPS:
+        column = "regexp_replace({}, '{}', {}, 'g')".format(column, pattern.replace("'", "''"), "chr(10)" if by == "\n" else "'" + by.replace("'", "''") + "'")
+    return column
+
 
 ORACLE_SQL: dict[str, str] = {
     "op1_exact_dedup": r"""
         WITH n AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS h FROM documents)
         SELECT doc_id, min(doc_id) OVER (PARTITION BY h) AS keep_id, count(*) OVER (PARTITION BY h) AS group_size,
                doc_id = min(doc_id) OVER (PARTITION BY h) AS kept, h AS text_sha256 FROM n""",
+    "op3_line_dedup": rf"""
+        WITH pages_ AS (
+            SELECT page_id, lower(coalesce(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1), '')) AS host,
+                   string_split({_html_sql("html")}, chr(10)) AS parts, row_number() OVER () AS r
+            FROM pages),
+        lines AS (SELECT r, host, pos, line, trim(translate(line, chr(9) || chr(13) || chr(11) || chr(12), '    '), ' ') AS k
+                  FROM (SELECT r, host, unnest(parts) AS line, generate_subscripts(parts, 1) AS pos FROM pages_)),
+        totals AS (SELECT host, count(*) AS host_pages FROM pages_ GROUP BY host),
+        common AS (SELECT l.host, l.k FROM lines l JOIN totals t ON l.host = t.host WHERE l.k <> '' AND t.host_pages >= 10
+                   GROUP BY l.host, l.k, t.host_pages HAVING count(DISTINCT r) >= 3 AND count(DISTINCT r) > 0.1 * t.host_pages),
+        marked AS (SELECT l.*, c.k IS NOT NULL AS gone FROM lines l LEFT JOIN common c ON l.host = c.host AND l.k = c.k),
+        per AS (SELECT r, count(*) FILTER (WHERE k <> '') AS filled, count(*) FILTER (WHERE gone) AS gone,
+                       string_agg(line, chr(10) ORDER BY pos) AS whole, string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone) AS rest
+                FROM marked GROUP BY r)
+        SELECT p.page_id, p.host, t.host_pages, CAST(coalesce(x.filled, 0) AS INTEGER) AS lines,
+               CAST(CASE WHEN x.filled > x.gone THEN x.gone ELSE 0 END AS INTEGER) AS dropped,
+               CASE WHEN x.filled > x.gone THEN x.rest ELSE x.whole END AS text
+        FROM pages_ p JOIN totals t ON p.host = t.host LEFT JOIN per x ON p.r = x.r""",
 }
