@@ -47,13 +47,11 @@ def fingerprint(text: str | None, width: int = 4) -> int:
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4) -> DataFrame:
     """id, fp (the 64 bits as a signed long); one row per row of docs."""
 
-    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            fps = np.fromiter((fingerprint(t, width) for t in batch["text"]), np.uint64, len(batch))
-            yield pd.DataFrame({"id": batch["id"], "fp": fps.view(np.int64)})
+    @F.pandas_udf("long")
+    def each(text: pd.Series) -> pd.Series:
+        return pd.Series(np.fromiter((fingerprint(t, width) for t in text), np.uint64, len(text)).view(np.int64))
 
-    found = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text")).mapInPandas(each, "id string, fp long")
-    return found.withColumn("id", F.col("id").cast(docs.schema[id_col].dataType))  # pandas has no long with nulls
+    return docs.select(F.col(id_col).alias("id"), each(F.col(text_col)).alias("fp"))
 
 
 def covering_masks(radius: int, positions: list[int]) -> list[int]:

@@ -7,8 +7,6 @@ counts only once its commit is written, so a batch that failed half-way or is se
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -71,14 +69,13 @@ def with_token_counts(docs: DataFrame, text: Column, tokenizer: str | None = Non
     """doc_id (as text), source, lang, version, tokens: a row for each document and tokenizer version, ``words`` and
     ``byte_bpe_50k``. A null text has no tokens. Columns doc_id, source and lang are read, others ignored."""
 
-    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("long")
+    def bpe(texts: pd.Series) -> pd.Series:
         encoder = byte_bpe(tokenizer)
-        for batch in batches:
-            batch["bpe"] = [len(encoder.encode(t)) if t else 0 for t in batch.pop("text")]
-            yield batch
+        return pd.Series([len(encoder.encode(t)) if t else 0 for t in texts], dtype="int64")
 
-    rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "source", "lang", text.alias("text"), F.coalesce(F.regexp_count(text, F.lit(WORDS)), F.lit(0)).cast("long").alias("words"))
-    found = rows.mapInPandas(each, "doc_id string, source string, lang string, words long, bpe long")
+    words = F.coalesce(F.regexp_count(text, F.lit(WORDS)), F.lit(0)).cast("long")
+    found = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "source", "lang", words.alias("words"), bpe(text).alias("bpe"))
     versions = F.explode(F.array(F.struct(F.lit("words").alias("version"), F.col("words").alias("tokens")), F.struct(F.lit("byte_bpe_50k").alias("version"), F.col("bpe").alias("tokens"))))
     return found.select("doc_id", "source", "lang", versions.alias("x")).select("doc_id", "source", "lang", "x.*")
 

@@ -230,25 +230,23 @@ def _regression(x: np.ndarray, y: np.ndarray, ridge: float = 0.5, rounds: int =
     return w
 
 
-def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3) -> DataFrame:
-    """One row per row of docs: id, score, predicted, hits (matches), quoted (those that are quotations), terms.
-
-    Null and empty texts have no matches and the score of such texts. Whole texts are read. Other columns are ignored.
-    """
+def scored(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.3) -> DataFrame:
+    """All columns of docs and ``_toxic``, a struct of score, predicted, hits (matches), quoted (those that are
+    quotations) and terms. Null and empty texts have no matches and the score of such texts. Whole texts are read."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the lexicon's size
 
-    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("score double, predicted int, hits int, quoted int, terms array<string>")
+    def each(text: pd.Series) -> pd.DataFrame:
         model = shared.value
-        for batch in batches:
-            found = [model.lexicon.features(t) for t in batch["text"]]
-            p = model.score(np.array([x for x, _ in found]).reshape(-1, FEATURES))
-            yield pd.DataFrame({"id": batch["id"], "score": p, "hits": [len(h) for _, h in found], "quoted": [sum(x[3] for x in h) for _, h in found], "terms": [sorted({x[0] for x in h}) for _, h in found]})
+        found = [model.lexicon.features(t) for t in text]
+        p = model.score(np.array([x for x, _ in found]).reshape(-1, FEATURES))
+        hits = [h for _, h in found]
+        return pd.DataFrame({"score": p, "predicted": (p >= threshold).astype(int), "hits": list(map(len, hits)), "quoted": [sum(x[3] for x in h) for h in hits], "terms": [sorted({x[0] for x in h}) for h in hits]})
 
-    out = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text")).mapInPandas(each, "id string, score double, hits int, quoted int, terms array<string>")
-    predicted = (F.col("score") >= threshold).cast("int").alias("predicted")
-    return out.select(F.col("id").cast(docs.schema[id_col].dataType).alias(id_col), "score", predicted, "hits", "quoted", "terms")
+    return docs.withColumn("_toxic", each(F.col(text_col)))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    found = score(docs, learn(docs, labels, id_col), id_col)
-    return found.select(id_col, held_out(id_col).alias("held_out"), "score", "predicted", "hits", "quoted")
+    """Learns from the labelled rows that are not held out and scores every row: id, held_out, score, predicted, hits, quoted."""
+    found = scored(docs, learn(docs, labels, id_col))
+    return found.select(id_col, held_out(id_col).alias("held_out"), "_toxic.score", "_toxic.predicted", "_toxic.hits", "_toxic.quoted")
