@@ -14,6 +14,7 @@ from lektura.llm.langid import language_id
 from lektura.llm.line_dedup import HTML_STEPS, host_of, html_lines, line_dedup
 from lektura.llm.mixing import mix_sources
 from lektura.llm.packing import pack
+from lektura.llm.passages import near_dup_passages
 from lektura.llm.simhash import simhash_near_dups
 from lektura.llm.token_rollup import documents_rollup
 from lektura.llm.toxicity import toxicity
@@ -38,6 +39,10 @@ def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_near_dups(table(spark, sf_dir, "documents"))
 
 
+def op5_near_dup_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup_passages(table(spark, sf_dir, "documents"))
+
+
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"))
 
@@ -61,7 +66,7 @@ def op10_vptree_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_exact_dedup, op2_toxicity, op3_line_dedup, op4_simhash_near_dedup, op6_mix_sources, op7_token_rollup, op8_pack, op9_language_id, op10_vptree_nearest)
+    for f in (op1_exact_dedup, op2_toxicity, op3_line_dedup, op4_simhash_near_dedup, op5_near_dup_passages, op6_mix_sources, op7_token_rollup, op8_pack, op9_language_id, op10_vptree_nearest)
 }
 
 
