@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from lektura.llm.common import WORDS, cut
 
-DIGITS, LEVELS = 3, 4  # 3 hex digits a level: 4096 buckets; 12 digits in all
+DIGITS = (3, 7, 12)  # hex digits at each level: 4096 buckets, then 16,384 in the boundary bucket, then what is left
 SOURCES_TO_BROADCAST = 100_000
 
 
@@ -46,24 +46,19 @@ def targets(sizes: DataFrame, cycle: tuple[int, ...] = (1, 2, 3), most: int = 3)
     return per.select("source", "source_size", F.coalesce(target, F.lit(0.0)).alias("target"))
 
 
-def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", cycle: tuple[int, ...] = (1, 2, 3), most: int = 3, rounds: int = 3) -> DataFrame:
-    """One row per row of docs: id, size, source_size, target, taken, copies.
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", cycle: tuple[int, ...] = (1, 2, 3), most: int = 3, rounds: int = 3) -> DataFrame:
+    """All columns of docs and ``_size``, ``_source_size``, ``_target``, ``_taken``, ``_copies``.
 
-    size is the number of words (null text: 0); taken = copies x size, copies from 0 to ``most``, whole documents only.
+    _size is the number of words (null text: 0); _taken = _copies x _size, _copies from 0 to ``most``, whole documents.
     In each of ``rounds`` rounds, the documents not yet taken again that fit what is left of the budget are taken in
     hash order up to the first that does not fit; so a long document costs no more than what remains after short ones.
     The hash is of the id's text (null: empty), so reruns agree; rows of one id have one hash and go together.
-    A source without words has target 0; an empty table gives an empty result. Other columns are ignored.
+    A source without words has target 0; an empty table gives an empty result. Columns of docs may have any names that
+    do not begin with an underscore.
     """
-    hashed = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")))
-    rows = cut(
-        docs.select(
-            F.col(id_col).alias("id"),
-            F.col(source_col).alias("source"),
-            F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORDS)), F.lit(0)).cast("long").alias("size"),
-            F.substring(hashed, 1, DIGITS * LEVELS).alias("h"),
-        )
-    )
+    hashed = F.substring(F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit(""))), 1, DIGITS[-1])
+    size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORDS)), F.lit(0)).cast("long")
+    rows = cut(docs.select(F.col(source_col).alias("source"), size.alias("size"), hashed.alias("h")))
     goal = targets(rows, cycle, most).withColumn("repeats", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0))
     goal = cut(goal.withColumn("rest", F.col("target") - F.col("repeats") * F.col("source_size")))
     small = goal.count() <= SOURCES_TO_BROADCAST
@@ -78,27 +73,37 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         gap, under = f"gap{turn}", f"under{turn}"
         goal = goal.withColumn(gap, F.col("rest")).withColumn("prefix", F.lit("")).withColumn("open", F.lit(True))
         fit = with_source(rows.where("size > 0"), goal.drop("source_size", "target", "repeats", "rest", "prefix", "open")).where((F.col("size") <= F.col(gap)) & ~extra).select("source", "size", "h")
-        for level in range(1, LEVELS + 1):
-            goal = _refined(fit, goal, level, with_source)
+        for digits in DIGITS:
+            goal = cut(_refined(fit, goal, digits, small))  # each level reads it twice
         # A boundary at the last level is the first hash left out; without one everything that fits is taken.
-        goal = cut(goal.withColumn(under, F.when(F.col("open"), F.col("prefix")).otherwise(F.lit("g"))).drop("prefix", "open"))
+        goal = goal.withColumn(under, F.when(F.col("open"), F.col("prefix")).otherwise(F.lit("g"))).drop("prefix", "open")
         extra = extra | ((F.col("size") <= F.col(gap)) & (F.col("h") < F.col(under)))
-    copies = F.when(F.col("size") > 0, F.col("repeats") + extra.cast("long")).otherwise(F.col("repeats")).cast("long")
-    return with_source(rows, goal).select(F.col("id").alias(id_col), "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.alias("copies"))
+    bounds = [F.struct(F.col(f"gap{turn}").alias("gap"), F.col(f"under{turn}").alias("under")) for turn in range(rounds)]
+    state = goal.select(F.col("source").alias("_k"), F.col("source_size").alias("_source_size"), F.col("target").alias("_target"), F.col("repeats").alias("_repeats"), F.array(*bounds).alias("_bounds"))
+    found = docs.withColumns({"_size": size, "_h": hashed}).join(F.broadcast(state) if small else state, F.col(source_col).eqNullSafe(F.col("_k")))
+    again = (F.col("_size") > 0) & F.exists("_bounds", lambda b: (F.col("_size") <= b["gap"]) & (F.col("_h") < b["under"]))
+    found = found.withColumn("_copies", (F.col("_repeats") + again.cast("long")).cast("long"))
+    return found.withColumn("_taken", F.col("_copies") * F.col("_size")).drop("_k", "_h", "_repeats", "_bounds")
+
+
+def mix_sources(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+    """id, size, source_size, target, taken, copies of each row, as ``mixed`` finds them."""
+    names = ("size", "source_size", "target", "taken", "copies")
+    return mixed(docs, id_col, **options).select(id_col, *[F.col(f"_{n}").alias(n) for n in names])
 
 
-def _refined(fit: DataFrame, goal: DataFrame, level: int, with_source) -> DataFrame:
-    """goal with the boundary found one level of digits further: ``prefix`` is the bucket where the sums of the level
-    pass ``rest``, and rest loses what lies before it. A source whose documents all fit is no longer open."""
-    inside = with_source(fit, goal.where("open").select("source", "prefix")).where(F.col("h").startswith(F.col("prefix")))
-    sums = inside.groupBy("source", F.substring("h", 1, DIGITS * level).alias("b")).agg(F.sum("size").alias("n"))
-    run = F.sum("n").over(Window.partitionBy("source").orderBy("b"))
-    passed = with_source(sums.select("source", "b", run.alias("run")), goal.select("source", F.col("rest").alias("was")))
+def _refined(fit: DataFrame, goal: DataFrame, digits: int, small: bool) -> DataFrame:
+    """goal with the boundary found to so many digits: ``prefix`` is the bucket where the sums of the level pass
+    ``rest``, and rest loses what lies before it. A source whose documents all fit is no longer open."""
+    state = goal.where("open").select(F.col("source").alias("_k"), F.col("prefix").alias("_p"), F.col("rest").alias("was"))
+    inside = fit.join(F.broadcast(state) if small else state, F.col("source").eqNullSafe(F.col("_k")) & F.col("h").startswith(F.col("_p")))
+    sums = inside.groupBy("source", "was", F.substring("h", 1, digits).alias("b")).agg(F.sum("size").alias("n"))
+    passed = sums.withColumn("run", F.sum("n").over(Window.partitionBy("source").orderBy("b")))
     edge = passed.groupBy(F.col("source").alias("_k")).agg(
         F.min(F.when(F.col("run") > F.col("was"), F.col("b"))).alias("edge"),
         F.coalesce(F.max(F.when(F.col("run") <= F.col("was"), F.col("run"))), F.lit(0)).alias("used"),
     )
-    found = goal.join(edge, F.col("source").eqNullSafe(F.col("_k")), "left").drop("_k")
+    found = goal.join(F.broadcast(edge) if small else edge, F.col("source").eqNullSafe(F.col("_k")), "left").drop("_k")
     more = F.col("open") & F.col("edge").isNotNull()
     rest = F.when(F.col("open"), F.col("rest") - F.coalesce("used", F.lit(0))).otherwise(F.col("rest"))
     return found.withColumns({"prefix": F.when(more, F.col("edge")).otherwise(F.col("prefix")), "rest": rest, "open": more}).drop("edge", "used")
