@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Umlauts as ASCII for tags, letters with marks for ASCII keys, and typographic quotation marks.
 UMLAUTS = (("ä", "ae"), ("ö", "oe"), ("ü", "ue"), ("ß", "ss"))
@@ -37,7 +38,7 @@ def unescaped(c: Column) -> Column:
     return c
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc_casefold(text: pd.Series) -> pd.Series:
     """Compatibility form and full case folding, which Spark has no functions for."""
     return text.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t).casefold())
