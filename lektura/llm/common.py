@@ -34,6 +34,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Texts are long: with so many rows a batch a Python worker stays small. A smaller setting of the session stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, rows)
+
+
 def bounded(df: DataFrame, rows: int) -> DataFrame:
     """Marks df for broadcasting only if it is counted to have at most so many rows; else leaves the join to Spark."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

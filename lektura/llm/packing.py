@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lektura.llm.common import cut
+from lektura.llm.common import cut, small_batches
 from lektura.llm.tokens import byte_bpe
 
 END = 2
@@ -49,6 +49,7 @@ def token_pieces(docs: DataFrame, id_col: str, text_col: str, capacity: int, pat
                     start += length
             yield pd.DataFrame(rows, columns=["id", "piece", "start", "length", "crc", "part", "nth"])
 
+    small_batches(docs.sparkSession)
     columns = F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text")  # pandas has no long with nulls
     return docs.select(*columns).mapInPandas(each, "id string, piece int, start long, length long, crc long, part int, nth long")
 

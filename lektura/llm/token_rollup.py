@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lektura.llm.common import SPACES, WORDS, cut
+from lektura.llm.common import SPACES, WORDS, cut, small_batches
 from lektura.llm.tokens import byte_bpe
 
 KEY = ["source", "lang", "version"]
@@ -69,6 +69,8 @@ def with_token_counts(docs: DataFrame, text: Column, tokenizer: str | None = Non
     """doc_id (as text), source, lang, version, tokens: a row for each document and tokenizer version, ``words`` and
     ``byte_bpe_50k``. A null text has no tokens. Columns doc_id, source and lang are read, others ignored."""
 
+    small_batches(docs.sparkSession)
+
     @F.pandas_udf("long")
     def bpe(texts: pd.Series) -> pd.Series:
         encoder = byte_bpe(tokenizer)

@@ -29,9 +29,8 @@ class ByteBpe:
     def __init__(self, path: str, ranks: str, pattern: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has the cores
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.path, self.tokenizer = path, None
         with open(ranks, "rb") as lines:
             merges = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.fast = tiktoken.Encoding("byte_bpe", pat_str=pattern, mergeable_ranks=merges, special_tokens={})
@@ -39,5 +38,9 @@ class ByteBpe:
     def encode(self, text: str) -> np.ndarray:
         """The text's ids as unsigned 32-bit numbers."""
         if SPECIAL in text:
+            if self.tokenizer is None:  # most corpora never need it
+                from tokenizers import Tokenizer
+
+                self.tokenizer = Tokenizer.from_file(self.path)
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
         return np.array(self.fast.encode_ordinary(text), "<u4")
