@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lektura.llm.common import cut
+from lektura.llm.common import cut, small_batches
 from lektura.llm.components import components
 
 SEED = 42
@@ -47,6 +47,8 @@ def fingerprint(text: str | None, width: int = 4) -> int:
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4) -> DataFrame:
     """id, fp (the 64 bits as a signed long); one row per row of docs."""
 
+    small_batches(docs.sparkSession)
+
     @F.pandas_udf("long")
     def each(text: pd.Series) -> pd.Series:
         return pd.Series(np.fromiter((fingerprint(t, width) for t in text), np.uint64, len(text)).view(np.int64))
@@ -64,8 +66,8 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def _linked(values: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """Edges of a spanning forest of the links within the radius, among distinct fingerprints."""
+def _linked(values: np.ndarray, radius: int) -> list[np.ndarray]:
+    """Edges of a spanning forest of the links within the radius, among distinct unsigned fingerprints."""
     edges, left = [], values
     while len(left):
         queue, left = [left[0]], left[1:]
@@ -74,7 +76,7 @@ def _linked(values: np.ndarray, radius: int) -> list[tuple[int, int]]:
             near = np.bitwise_count(left ^ x) <= radius
             if near.any():
                 found = left[near]
-                edges += [(int(x), int(y)) for y in found]
+                edges.append(np.stack([np.full(len(found), x), found], axis=1))
                 queue += list(found)
                 left = left[~near]
     return edges
@@ -110,8 +112,10 @@ def links(fps: DataFrame, radius: int = 4, largest: int = 4096) -> DataFrame:
 def _edges(members: DataFrame, bucket: list[str], radius: int) -> DataFrame:
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = [e for x in batch["fps"] for e in _linked(np.asarray(x, np.int64), radius)]
-            yield pd.DataFrame(found, columns=["src", "dst"], dtype=np.int64)
+            # Unsigned: of a negative number numpy counts the bits of its absolute value.
+            found = [e for x in batch["fps"] for e in _linked(np.asarray(x, np.int64).view(np.uint64), radius)]
+            pairs = np.concatenate(found).view(np.int64) if found else np.zeros((0, 2), np.int64)
+            yield pd.DataFrame({"src": pairs[:, 0], "dst": pairs[:, 1]})
 
     return members.groupBy(*bucket).agg(F.collect_list("fp").alias("fps")).select("fps").mapInPandas(each, "src long, dst long")
 

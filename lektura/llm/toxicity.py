@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lektura.llm.common import bounded, cut, held_out
+from lektura.llm.common import bounded, cut, held_out, small_batches
 
 WORD = re.compile(r"[^\W\d_]+")
 WINDOW = 8
@@ -167,8 +167,9 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col)).groupBy(id_col).agg(F.max(label_col).cast("int").alias("y"))
     drawn = cut(known.orderBy(F.xxhash64(id_col), id_col).limit(rows))
     texts = docs.select(id_col, F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(bounded(drawn, rows), id_col).select("text", "y")
-    near = F.array_min(F.transform(F.split(F.lower("text"), r"\s+"), lambda w: F.xxhash64(w)))
-    sample = cut(texts.withColumn("near", near).dropDuplicates(["near", "y"]).select("text", "y"))
+    # Near copies mostly share the smallest hash of three words in a row, which others hardly do.
+    three = F.transform(F.sequence(F.lit(1), F.greatest(F.size("ws") - 2, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice("ws", i, 3), " ")))
+    sample = cut(texts.withColumn("ws", F.split(F.lower("text"), r"\s+")).withColumn("near", F.array_min(three)).dropDuplicates(["near", "y"]).select("text", "y"))
     n = {r["y"]: r["count"] for r in sample.groupBy("y").count().collect()}
     n_toxic, n_clean = sum(c for y, c in n.items() if y), n.get(0, 0)
     if not n_toxic or not n_clean:
@@ -233,6 +234,7 @@ def _regression(x: np.ndarray, y: np.ndarray, ridge: float = 0.5, rounds: int =
 def scored(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.3) -> DataFrame:
     """All columns of docs and ``_toxic``, a struct of score, predicted, hits (matches), quoted (those that are
     quotations) and terms. Null and empty texts have no matches and the score of such texts. Whole texts are read."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the lexicon's size
 
     @F.pandas_udf("score double, predicted int, hits int, quoted int, terms array<string>")
