@@ -9,14 +9,15 @@ from lektura.llm.common import cut
 
 LINES_TO_BROADCAST = 200_000
 
-#: Order matters: what is not text, then block tags as line ends, then other tags, then entities.
+#: Order matters: what is not text, then block tags as line ends, then other tags; entities come last.
 HTML_STEPS = (
-    (r"(?is)<script.*?</script>|<style.*?</style>", ""),
-    (r"(?s)<!--.*?-->", ""),
+    (r"(?is)<script.*?</script>|<style.*?</style>|<!--.*?-->", ""),
     (r"(?i)</?(?:p|div|br|li|ul|ol|h[1-6]|tr|td|th|table|article|section|nav|head|header|footer|title|body|html)(?:[\s/][^>]*)?>", "\n"),
     (r"<[^>]*>", ""),
-    ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&"),
 )
+ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
+#: What is trimmed from lines.
+BLANKS = " \t\r\x0b\x0c"
 
 
 def host_of(url: Column) -> Column:
@@ -28,6 +29,8 @@ def html_lines(html: Column) -> Column:
     """Html as text, a line for each block; null stays null."""
     for pattern, by in HTML_STEPS:
         html = F.regexp_replace(html, pattern, by)
+    for entity, char in ENTITIES:
+        html = F.replace(html, F.lit(entity), F.lit(char))
     return html
 
 
@@ -41,9 +44,9 @@ def line_dedup(docs: DataFrame, host: Column, text: Column, ratio: float = 0.1,
     Columns of ``docs`` may have any names that do not begin with an underscore.
     """
     split = F.split(text, "\n")
-    keyed = F.transform(split, lambda x: F.when(F.trim(_plain(x)) != "", F.unhex(F.md5(F.trim(_plain(x))))))
+    keyed = F.transform(F.filter(split, _filled), _key)
     pages = docs.withColumns({"_host": host, "_split": split})
-    seen = docs.select(host.alias("_host"), F.array_distinct(F.array_compact(F.coalesce(keyed, F.array().cast("array<binary>")))).alias("ks"))
+    seen = docs.select(host.alias("_host"), F.array_distinct(F.coalesce(keyed, F.array().cast("array<binary>"))).alias("ks"))
     totals = seen.groupBy("_host").agg(F.count(F.lit(1)).alias("_host_pages"))
     counts = seen.select("_host", F.explode("ks").alias("k")).groupBy("_host", "k").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_repeats)
     totals = cut(totals)
@@ -57,25 +60,27 @@ def line_dedup(docs: DataFrame, host: Column, text: Column, ratio: float = 0.1,
         joined = pages.join(F.broadcast(sites), F.col("_host").eqNullSafe(F.col("_h")), "left").drop("_h")
     else:
         joined = _by_row(pages, docs, host, text, keyed, gone, of)
-    lost = F.coalesce("_gone", F.array().cast("array<binary>"))
-    filled = F.filter("_split", lambda x: F.trim(_plain(x)) != "")
-    left = F.filter("_split", lambda x: (F.trim(_plain(x)) == "") | ~F.array_contains(lost, F.unhex(F.md5(F.trim(_plain(x))))))
-    joined = joined.withColumns({"_left": F.when(F.size(lost) > 0, left).otherwise(F.col("_split")), "_lines": F.coalesce(F.size(filled), F.lit(0))})
-    whole = ~F.exists("_left", lambda x: F.trim(_plain(x)) != "")
+    # Only pages of a host with such lines are gone through again.
+    left = F.when(F.col("_gone").isNotNull(), F.filter("_split", lambda x: ~_filled(x) | ~F.array_contains("_gone", _key(x)))).otherwise(F.col("_split"))
+    joined = joined.withColumns({"_left": left, "_lines": F.coalesce(F.size(F.filter("_split", _filled)), F.lit(0))})
+    whole = F.col("_gone").isNotNull() & ~F.exists("_left", _filled)
     joined = joined.withColumn("_left", F.when(whole, F.col("_split")).otherwise(F.col("_left")))
     dropped = F.when(F.col("_split").isNull(), 0).otherwise(F.size("_split") - F.size("_left")).cast("int")
     return joined.withColumns({"_dropped": dropped, "_kept": F.array_join("_left", "\n")}).drop("_split", "_gone", "_left")
 
 
-def _plain(line: Column) -> Column:
-    """White space other than line ends as spaces."""
-    return F.translate(line, "\t\r\x0b\x0c", "    ")
+def _filled(line: Column) -> Column:
+    return F.btrim(line, F.lit(BLANKS)) != ""
+
+
+def _key(line: Column) -> Column:
+    return F.unhex(F.md5(F.btrim(line, F.lit(BLANKS))))
 
 
 def _by_row(pages: DataFrame, docs: DataFrame, host: Column, text: Column, keyed: Column, gone: DataFrame, of: DataFrame) -> DataFrame:
     """The lines to drop by row, for more of them than can be sent to each task."""
     row = F.md5(F.to_json(F.struct(host.alias("h"), text.alias("t"))))
-    lines = docs.select(row.alias("_row"), host.alias("_host"), keyed.alias("ks")).distinct().select("_row", "_host", F.explode(F.array_distinct(F.array_compact("ks"))).alias("k"))
+    lines = docs.select(row.alias("_row"), host.alias("_host"), keyed.alias("ks")).distinct().select("_row", "_host", F.explode(F.array_distinct("ks")).alias("k"))
     found = lines.join(gone.toDF("_g", "_k"), F.col("_host").eqNullSafe(F.col("_g")) & (F.col("k") == F.col("_k")), "left_semi")
     lists = found.groupBy("_row").agg(F.collect_set("k").alias("_gone"))
     return pages.withColumn("_row", row).join(lists, "_row", "left").drop("_row").join(of, F.col("_host").eqNullSafe(F.col("_h")), "left").drop("_h")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from lektura.llm.common import shared_dir, table
 from lektura.llm.exact_dedup import exact_dedup
 from lektura.llm.langid import language_id
-from lektura.llm.line_dedup import HTML_STEPS, host_of, html_lines, line_dedup
+from lektura.llm.line_dedup import ENTITIES, HTML_STEPS, host_of, html_lines, line_dedup
 from lektura.llm.mixing import mix_sources
 from lektura.llm.packing import pack
 from lektura.llm.passages import near_dup_passages
@@ -72,7 +72,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 def _html_sql(column: str) -> str:
     for pattern, by in HTML_STEPS:
-        column = "regexp_replace({}, '{}', {}, 'g')".format(column, pattern.replace("'", "''"), "chr(10)" if by == "\n" else "'" + by.replace("'", "''") + "'")
+        column = "regexp_replace({}, '{}', {}, 'g')".format(column, pattern, "chr(10)" if by == "\n" else f"'{by}'")
+    for entity, char in ENTITIES:
+        column = "replace({}, '{}', '{}')".format(column, entity, char.replace("'", "''"))
     return column
 
 
@@ -86,7 +88,7 @@ ORACLE_SQL: dict[str, str] = {
             SELECT page_id, lower(coalesce(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1), '')) AS host,
                    string_split({_html_sql("html")}, chr(10)) AS parts, row_number() OVER () AS r
             FROM pages),
-        lines AS (SELECT r, host, pos, line, trim(translate(line, chr(9) || chr(13) || chr(11) || chr(12), '    '), ' ') AS k
+        lines AS (SELECT r, host, pos, line, trim(line, ' ' || chr(9) || chr(13) || chr(11) || chr(12)) AS k
                   FROM (SELECT r, host, unnest(parts) AS line, generate_subscripts(parts, 1) AS pos FROM pages_)),
         totals AS (SELECT host, count(*) AS host_pages FROM pages_ GROUP BY host),
         common AS (SELECT l.host, l.k FROM lines l JOIN totals t ON l.host = t.host WHERE l.k <> '' AND t.host_pages >= 10
