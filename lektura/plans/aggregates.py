@@ -37,15 +37,15 @@ def a3(t: Tables) -> DataFrame:
     return A.year_pivot(mentions(t), range(2020, 2026))
 
 
-GAP_SQL = f"""WITH {MENTIONS_SQL}, {WEIGHTS_SQL}, a AS (SELECT topic, round(sum(coalesce(weight, 0)), 6) AS asked FROM m LEFT JOIN w ON m.year = w.year WHERE o_orderkey % 2 = 0 GROUP BY topic),
-    c AS (SELECT topic, round(sum(coalesce(weight, 0)), 6) AS covered FROM m LEFT JOIN w ON m.year = w.year WHERE o_orderkey % 2 = 1 GROUP BY topic),
+GAP_SQL = f"""WITH {MENTIONS_SQL}, {WEIGHTS_SQL}, a AS (SELECT topic, round(sum(coalesce(weight, 0)), 6) AS asked FROM m LEFT JOIN w ON m.year = w.year WHERE domain = 'O' GROUP BY topic),
+    c AS (SELECT topic, round(sum(coalesce(weight, 0)), 6) AS covered FROM m LEFT JOIN w ON m.year = w.year WHERE domain = 'F' GROUP BY topic),
     g AS (SELECT topic, asked, coalesce(covered, 0) AS covered, round(asked - coalesce(covered, 0), 6) AS gap FROM a LEFT JOIN c USING (topic) WHERE asked > 0),
     p AS (SELECT *, CASE WHEN gap > asked / 2 THEN 'HIGH' WHEN gap > 0 THEN 'MEDIUM' ELSE 'LOW' END AS priority FROM g)"""
 
 
 def gaps(t: Tables) -> DataFrame:
     m = mentions(t)
-    return A.gap_priority(A.recency_scores(m.where("o_orderkey % 2 = 0")), A.recency_scores(m.where("o_orderkey % 2 = 1")))
+    return A.gap_priority(A.recency_scores(m.where("domain = 'O'")), A.recency_scores(m.where("domain = 'F'")))
 
 
 @query("a4_gap_priority", f"{GAP_SQL} SELECT * FROM p")

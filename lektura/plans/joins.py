@@ -68,12 +68,12 @@ def j5(t: Tables) -> DataFrame:
 def versions(t: Tables) -> tuple[DataFrame, DataFrame]:
     """Old and new answers by key: order statuses and priorities."""
     o = t.orders
-    old = o.where("o_orderkey % 3 <> 0").select("o_orderkey", F.col("o_orderstatus").alias("answer"))
-    new = o.where("o_orderkey % 2 = 0").select("o_orderkey", F.col("o_orderpriority").alias("answer"))
+    old = o.where("o_orderstatus <> 'O'").select("o_orderkey", F.col("o_orderstatus").alias("answer"))
+    new = o.where("o_totalprice > 200000").select("o_orderkey", F.col("o_orderpriority").alias("answer"))
     return old, new
 
 
-OLD_NEW_SQL = "old AS (SELECT o_orderkey, o_orderstatus AS answer FROM orders WHERE o_orderkey % 3 <> 0), new AS (SELECT o_orderkey, o_orderpriority AS answer FROM orders WHERE o_orderkey % 2 = 0)"
+OLD_NEW_SQL = "old AS (SELECT o_orderkey, o_orderstatus AS answer FROM orders WHERE o_orderstatus <> 'O'), new AS (SELECT o_orderkey, o_orderpriority AS answer FROM orders WHERE o_totalprice > 200000)"
 
 
 @query("j6_upsert", f"""WITH {OLD_NEW_SQL}, b AS (SELECT coalesce(old.o_orderkey, new.o_orderkey) AS o_orderkey, old.answer AS o, new.answer AS n,
@@ -108,10 +108,10 @@ def j9(t: Tables) -> DataFrame:
 
 
 @query("j10_three_way", """SELECT o.o_orderkey, CASE WHEN v.verdict IN ('ok', 'maybe') AND n.answer IS NOT NULL THEN n.answer ELSE o.o_orderstatus END AS answer, coalesce(v.verdict, 'remaining') AS verdict
-    FROM orders o LEFT JOIN (SELECT o_orderkey, o_orderpriority AS answer FROM orders WHERE o_orderkey % 2 = 0) n ON o.o_orderkey = n.o_orderkey
+    FROM orders o LEFT JOIN (SELECT o_orderkey, o_orderpriority AS answer FROM orders WHERE o_totalprice > 200000) n ON o.o_orderkey = n.o_orderkey
     LEFT JOIN (SELECT l_orderkey, CASE max(l_returnflag) WHEN 'R' THEN 'ok' WHEN 'N' THEN 'maybe' ELSE 'bad' END AS verdict FROM lineitem GROUP BY 1) v ON o.o_orderkey = v.l_orderkey""")
 def j10(t: Tables) -> DataFrame:
-    corrected = t.orders.where("o_orderkey % 2 = 0").select("o_orderkey", F.col("o_orderpriority").alias("new"))
+    corrected = t.orders.where("o_totalprice > 200000").select("o_orderkey", F.col("o_orderpriority").alias("new"))
     verdict = t.lineitem.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.max("l_returnflag").alias("f"))
     joined = t.orders.select("o_orderkey", "o_orderstatus").join(corrected, "o_orderkey", "left").join(verdict, "o_orderkey", "left")
     named = F.when(F.col("f") == "R", "ok").when(F.col("f") == "N", "maybe").when(F.col("f").isNotNull(), "bad").otherwise("remaining")
