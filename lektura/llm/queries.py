@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lektura.llm.common import shared_dir, table
+from lektura.llm.common import cut, shared_dir, table
 from lektura.llm.exact_dedup import exact_dedup
 from lektura.llm.langid import language_id
 from lektura.llm.line_dedup import ENTITIES, HTML_STEPS, host_of, html_lines, line_dedup
@@ -30,7 +30,8 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = line_dedup(table(spark, sf_dir, "pages"), host_of(F.col("url")), html_lines(F.col("html")))
+    pages = cut(table(spark, sf_dir, "pages").select("page_id", "url", html_lines(F.col("html")).alias("html")))  # read twice
+    found = line_dedup(pages, host_of(F.col("url")), F.col("html"))
     names = {"_host": "host", "_host_pages": "host_pages", "_lines": "lines", "_dropped": "dropped", "_kept": "text"}
     return found.select("page_id", *[F.col(c).alias(n) for c, n in names.items()])
 
