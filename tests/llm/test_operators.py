@@ -120,6 +120,44 @@ def test_covering_masks_cover_every_pair():
         assert any(not x & m for m in masks)
 
 
+@pytest.mark.parametrize("at_once", [16, 1])
+def test_near_dedup_stage_against_brute_force(spark, monkeypatch, at_once):
+    import corpus_pipeline
+    from lektura.llm import near_copies
+
+    monkeypatch.setattr(near_copies, "AT_ONCE", at_once)
+    rng = np.random.default_rng(11)
+    fresh = lambda n: [f"t{x}" for x in rng.integers(0, 10**9, n)]
+
+    def edited(words, edits):
+        words = list(words)
+        for at in rng.choice(len(words), edits, replace=False):
+            words[at] = fresh(1)[0]
+        return words
+
+    texts = [" ".join(fresh(12)) for _ in range(5)] + [None, "", "Two words", "two  words", "three short words"]
+    for edits in (1, 2, 3, 4, 5, 6, 8):  # from 0.95 down to 0.7
+        for _ in range(12):
+            words = fresh(200)
+            texts += [" ".join(words), " ".join(edited(words, edits)).upper()]
+    crowd = fresh(200)
+    texts += [" ".join(edited(crowd, int(rng.integers(0, 5)))) for _ in range(60)]
+    docs = documents(spark, texts)
+    sets = []
+    for t in texts:
+        words = (t or "").lower().split()
+        sets.append({" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set())
+    root = list(range(len(texts)))
+    for i, x in enumerate(sets):
+        for j in range(i):
+            if x == sets[j] or (x and len(x & sets[j]) >= 0.8 * len(x | sets[j])):
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    stay = sorted(r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, "").collect())
+    assert stay == sorted(set(root))
+    assert corpus_pipeline.near_dedup(spark, docs.limit(0), "").count() == 0
+
+
 def test_mixing(spark):
     rng = np.random.default_rng(5)
     texts = [" ".join(["w"] * int(n)) for n in rng.integers(0, 60, 400)] + [None, "", " ".join(["w"] * 3000)]
