@@ -1,11 +1,13 @@
-"""Connected components by repeated contraction, all in Spark."""
+"""Connected components by repeated contraction, and comparisons within groups of any size, all in Spark."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lektura.llm.common import cut
+from lektura.llm.common import written
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -16,7 +18,7 @@ def components(edges: DataFrame) -> DataFrame:
     merges the edges; node counts fall by a constant share a round, long chains included. A hub's neighbours are
     pre-aggregated before the shuffle.
     """
-    left = cut(edges.select("src", "dst").where("src <> dst").distinct())
+    left = written(edges.select("src", "dst").where("src <> dst").distinct())
     roots: DataFrame | None = None
     turn = 0
     while not left.isEmpty():
@@ -25,11 +27,53 @@ def components(edges: DataFrame) -> DataFrame:
         order = F.xxhash64("dst", F.lit(turn))
         least = both.groupBy(F.col("src").alias("node")).agg(F.min_by("dst", order).alias("nb"), F.min(order).alias("rank"))
         own = F.xxhash64("node", F.lit(turn))
-        step = cut(least.select("node", F.when(F.col("rank") < own, F.col("nb")).otherwise(F.col("node")).alias("to")))
+        step = written(least.select("node", F.when(F.col("rank") < own, F.col("nb")).otherwise(F.col("node")).alias("to")))
         a, b = step.toDF("src", "a"), step.toDF("dst", "b")
-        left = cut(left.join(a, "src").join(b, "dst").where("a <> b").select(F.col("a").alias("src"), F.col("b").alias("dst")).distinct())
+        left = written(left.join(a, "src").join(b, "dst").where("a <> b").select(F.col("a").alias("src"), F.col("b").alias("dst")).distinct())
         if roots is None:
             roots = step.toDF("node", "root")
         else:
             roots = roots.join(step.toDF("root", "to"), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
-    return cut(roots) if roots is not None else left.toDF("node", "root")
+    return written(roots) if roots is not None else left.toDF("node", "root")
+
+
+def lot_of(column: str) -> Column:
+    """A number from 0 to 1 drawn by hash."""
+    return F.pmod(F.xxhash64(column), F.lit(1 << 30)) / (1 << 30)
+
+
+def linked_in_turn(members: DataFrame, compare: Callable[[DataFrame], DataFrame], known: DataFrame | None = None, at_once: int = 16, still: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame | None:
+    """src, dst: links that join whatever members of a key ``compare`` would link, directly or through each other.
+
+    ``members``: key, node, lot (see ``lot_of``) and further columns; ``compare`` gets pairs of members of one key, their
+    columns ending in _a and _b, and returns src and dst (nodes) of those that are linked. ``known``: links that are
+    given. No pair is left out but those whose nodes earlier links join: where few pairs of a key are unjoined, at most
+    ``at_once`` a member, they are compared at once. Else one member, and in later turns four times as many each time,
+    is compared with all the others, so a large group of linked members takes about as many comparisons as it has
+    members. ``still`` may drop members that cannot be linked at all before the second turn. None: no link was sought.
+    """
+    involved = written(members.select("node").distinct())
+    names, links, turn = members.columns, known, 0
+    while True:
+        if links is None:
+            groups = involved.withColumn("root", F.col("node"))
+        else:
+            groups = involved.join(components(links).hint("merge"), "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+        placed = members.join(groups.hint("merge"), "node")
+        each = placed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("_c"), F.min("lot").alias("_lot")).groupBy("key")
+        each = each.agg(F.sum("_c").alias("_m"), F.sum(F.col("_c") * F.col("_c")).alias("_q"), F.max_by("root", "_c").alias("_most"), F.min("_lot").alias("_lot"))
+        placed = written(placed.join(each.where("_q < _m * _m").hint("merge"), "key"))
+        if placed.isEmpty():
+            return links
+        few = (F.col("_m") * F.col("_m") - F.col("_q")) / 2 <= at_once * F.col("_m")
+        drawn = (F.col("lot") <= F.col("_lot")) | (F.col("lot") * F.col("_m") < (4.0**turn if turn else 0.0))
+        placed = placed.withColumn("asks", F.when(few, F.col("root") != F.col("_most")).otherwise(drawn))
+        a, b = (placed.select("key", *[F.col(c).alias(f"{c}_{x}") for c in (*names, "root", "asks") if c != "key"]) for x in "ab")
+        met = a.where("asks_a").join(b.hint("merge"), "key").where("root_a <> root_b and (not asks_b or node_a < node_b)")
+        new = compare(met)
+        links, turn = new if links is None else links.union(new), turn + 1
+        members = placed.where(~few & ~F.col("asks")).select(*names)
+        if turn == 1 and still is not None:
+            members = written(still(members))
+        if members.isEmpty():
+            return links

@@ -36,7 +36,11 @@ def fingerprint(text: str | None, width: int = 4) -> int:
     ends = np.cumsum(lengths) + np.arange(n)
     starts = (ends - lengths)[: n - width + 1].tolist()
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[s:e], SEED) for s, e in zip(starts, ends[width - 1 :].tolist())], "<u8")
+    return majority(np.array([digest(joined[s:e], SEED) for s, e in zip(starts, ends[width - 1 :].tolist())], "<u8"))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """A bit is 1 if it is set in over half of the hashes."""
     ones = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 16384):  # bounded memory for very long texts
         part = hashes[at : at + 16384]

@@ -12,7 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from lektura.llm import langid, line_dedup, mixing, packing, passages, simhash, tokens, toxicity, vptree
+from lektura.llm import langid, line_dedup, mixing, packing, simhash, tokens, toxicity, vptree
 from lektura.llm.exact_dedup import exact_dedup
 from lektura.llm.token_rollup import TokenRollup
 
@@ -120,44 +120,6 @@ def test_covering_masks_cover_every_pair():
         assert any(not x & m for m in masks)
 
 
-@pytest.mark.parametrize("at_once", [16, 1])
-def test_near_dedup_stage_against_brute_force(spark, monkeypatch, at_once):
-    import corpus_pipeline
-    from lektura.llm import near_copies
-
-    monkeypatch.setattr(near_copies, "AT_ONCE", at_once)
-    rng = np.random.default_rng(11)
-    fresh = lambda n: [f"t{x}" for x in rng.integers(0, 10**9, n)]
-
-    def edited(words, edits):
-        words = list(words)
-        for at in rng.choice(len(words), edits, replace=False):
-            words[at] = fresh(1)[0]
-        return words
-
-    texts = [" ".join(fresh(12)) for _ in range(5)] + [None, "", "Two words", "two  words", "three short words"]
-    for edits in (1, 2, 3, 4, 5, 6, 8):  # from 0.95 down to 0.7
-        for _ in range(12):
-            words = fresh(200)
-            texts += [" ".join(words), " ".join(edited(words, edits)).upper()]
-    crowd = fresh(200)
-    texts += [" ".join(edited(crowd, int(rng.integers(0, 5)))) for _ in range(60)]
-    docs = documents(spark, texts)
-    sets = []
-    for t in texts:
-        words = (t or "").lower().split()
-        sets.append({" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set())
-    root = list(range(len(texts)))
-    for i, x in enumerate(sets):
-        for j in range(i):
-            if x == sets[j] or (x and len(x & sets[j]) >= 0.8 * len(x | sets[j])):
-                low, high = sorted((root[i], root[j]))
-                root = [low if r == high else r for r in root]
-    stay = sorted(r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, "").collect())
-    assert stay == sorted(set(root))
-    assert corpus_pipeline.near_dedup(spark, docs.limit(0), "").count() == 0
-
-
 def test_mixing(spark):
     rng = np.random.default_rng(5)
     texts = [" ".join(["w"] * int(n)) for n in rng.integers(0, 60, 400)] + [None, "", " ".join(["w"] * 3000)]
@@ -333,40 +295,6 @@ def test_html_lines(spark):
     assert [x for x in row.select(line_dedup.html_lines(F.col("html")).alias("t")).first()["t"].split("\n") if x] == ["a & b", "c", "d<e>"]
 
 
-def test_passages(spark):
-    rng = np.random.default_rng(8)
-    fresh = lambda n: [f"t{x}" for x in rng.integers(0, 10**9, n)]
-    shared, edited = fresh(80), fresh(120)
-    changed = list(edited)
-    changed[40] = "changed"
-    texts = [" ".join(fresh(100) + shared + fresh(30)), " ".join(fresh(7) + shared + fresh(200)), " ".join(fresh(90) + edited), " ".join(changed + fresh(60)), " ".join(fresh(300)), " ".join(shared[:30]), None, "", " ".join(fresh(5000) + shared)]
-    texts += [texts[4], texts[4].upper()]
-    rows = passages.near_dup_passages(documents(spark, texts)).collect()
-    pairs = {(r["doc_id"], r["other_doc_id"]) for r in rows}
-    assert pairs == {(0, 1), (1, 0), (0, 8), (8, 0), (1, 8), (8, 1), (2, 3), (3, 2), (4, 9), (9, 4), (4, 10), (10, 4)}
-    first = next(r for r in rows if (r["doc_id"], r["other_doc_id"]) == (0, 1))
-    assert (first["start"], first["words"], first["other_start"], first["other_words"], first["similarity"]) == (100, 80, 7, 80, 1.0)
-    assert passages.near_dup_passages(documents(spark, texts).limit(0)).count() == 0
-
-
-def test_passages_of_many(spark):
-    rng = np.random.default_rng(9)
-    fresh = lambda n: [f"t{x}" for x in rng.integers(0, 10**9, n)]
-    shared = fresh(70)
-    texts = [" ".join(fresh(20) + shared + fresh(20)) for _ in range(40)]
-    rows = passages.near_dup_passages(documents(spark, texts)).collect()
-    assert {r["doc_id"] for r in rows} == set(range(40)) and len(rows) < 40 * 39
-
-
-def test_compact_windows():
-    values = np.random.default_rng(0).integers(0, 1000, 60).astype(np.uint64)
-    found = passages.compact_windows(values, 7)
-    for begin in range(60):
-        for end in range(begin + 7, 61):
-            centre = begin + int(values[begin:end].argmin())
-            assert any(a <= begin and end - 1 <= b and c == centre for a, c, b in found)
-
-
 def test_rollup(spark, tmp_path):
     rollup = TokenRollup(spark, f"file://{tmp_path}/rollup")
     columns = "op string, doc_id long, source string, lang string, version string, tokens long"
