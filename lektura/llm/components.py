@@ -42,38 +42,39 @@ def lot_of(column: str) -> Column:
     return F.pmod(F.xxhash64(column), F.lit(1 << 30)) / (1 << 30)
 
 
-def linked_in_turn(members: DataFrame, compare: Callable[[DataFrame], DataFrame], known: DataFrame | None = None, at_once: int = 16, still: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame | None:
-    """src, dst: links that join whatever members of a key ``compare`` would link, directly or through each other.
+def linked_in_turn(members: DataFrame, compare: Callable[[DataFrame], DataFrame], known: DataFrame | None = None, at_once: int = 16) -> DataFrame:
+    """node, root: groups of the nodes that ``compare`` links within a key, directly or through each other.
 
     ``members``: key, node, lot (see ``lot_of``) and further columns; ``compare`` gets pairs of members of one key, their
     columns ending in _a and _b, and returns src and dst (nodes) of those that are linked. ``known``: links that are
     given. No pair is left out but those whose nodes earlier links join: where few pairs of a key are unjoined, at most
     ``at_once`` a member, they are compared at once. Else one member, and in later turns four times as many each time,
     is compared with all the others, so a large group of linked members takes about as many comparisons as it has
-    members. ``still`` may drop members that cannot be linked at all before the second turn. None: no link was sought.
+    members.
     """
-    involved = written(members.select("node").distinct())
-    names, links, turn = members.columns, known, 0
+    groups = members.select("node").distinct()
+    if known is None:
+        groups = written(groups.withColumn("root", F.col("node")))
+    else:
+        nodes = groups.union(known.select("src")).union(known.select("dst")).distinct()
+        groups = written(nodes.join(components(known).hint("merge"), "node", "left").select("node", F.coalesce("root", "node").alias("root")))
+    names, turn = members.columns, 0
     while True:
-        if links is None:
-            groups = involved.withColumn("root", F.col("node"))
-        else:
-            groups = involved.join(components(links).hint("merge"), "node", "left").select("node", F.coalesce("root", "node").alias("root"))
         placed = members.join(groups.hint("merge"), "node")
         each = placed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("_c"), F.min("lot").alias("_lot")).groupBy("key")
         each = each.agg(F.sum("_c").alias("_m"), F.sum(F.col("_c") * F.col("_c")).alias("_q"), F.max_by("root", "_c").alias("_most"), F.min("_lot").alias("_lot"))
         placed = written(placed.join(each.where("_q < _m * _m").hint("merge"), "key"))
         if placed.isEmpty():
-            return links
+            return groups
         few = (F.col("_m") * F.col("_m") - F.col("_q")) / 2 <= at_once * F.col("_m")
         drawn = (F.col("lot") <= F.col("_lot")) | (F.col("lot") * F.col("_m") < (4.0**turn if turn else 0.0))
         placed = placed.withColumn("asks", F.when(few, F.col("root") != F.col("_most")).otherwise(drawn))
         a, b = (placed.select("key", *[F.col(c).alias(f"{c}_{x}") for c in (*names, "root", "asks") if c != "key"]) for x in "ab")
         met = a.where("asks_a").join(b.hint("merge"), "key").where("root_a <> root_b and (not asks_b or node_a < node_b)")
-        new = compare(met)
-        links, turn = new if links is None else links.union(new), turn + 1
+        new, turn = compare(met), turn + 1
+        of = [groups.select(F.col("node").alias(end), F.col("root").alias(f"r{end}")).hint("merge") for end in ("src", "dst")]
+        joined = components(new.join(of[0], "src").join(of[1], "dst").select(F.col("rsrc").alias("src"), F.col("rdst").alias("dst")))
+        groups = written(groups.join(joined.toDF("root", "to").hint("merge"), "root", "left").select("node", F.coalesce("to", "root").alias("root")))
         members = placed.where(~few & ~F.col("asks")).select(*names)
-        if turn == 1 and still is not None:
-            members = written(still(members))
         if members.isEmpty():
-            return links
+            return groups

@@ -3,7 +3,7 @@
 A source's target, over its size, gives whole repeats of all its documents and a rest. The rest takes the documents
 whose hash is under a threshold: words are summed by source and leading hash digits, the digit where the sums pass the
 budget is the boundary, and only its documents are summed again by their next digits. Nothing is sorted, and a smaller
-budget takes a subset of a larger one's documents.
+budget takes a subset of a larger one's documents. At last one document more is taken where that brings a source nearer.
 """
 
 from __future__ import annotations
@@ -52,6 +52,8 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     _size is the number of words (null text: 0); _taken = _copies x _size, _copies from 0 to ``most``, whole documents.
     In each of ``rounds`` rounds, the documents not yet taken again that fit what is left of the budget are taken in
     hash order up to the first that does not fit; so a long document costs no more than what remains after short ones.
+    Then the document whose size is nearest to what is left, the first by hash of equals, is taken if the source then
+    is nearer to its target, above or below it.
     The hash is of the id's text (null: empty), so reruns agree; rows of one id have one hash and go together.
     A source without words has target 0; an empty table gives an empty result. Columns of docs may have any names that
     do not begin with an underscore.
@@ -78,12 +80,13 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
         # A boundary at the last level is the first hash left out; without one everything that fits is taken.
         goal = goal.withColumn(under, F.when(F.col("open"), F.col("prefix")).otherwise(F.lit("g"))).drop("prefix", "open")
         extra = extra | ((F.col("size") <= F.col(gap)) & (F.col("h") < F.col(under)))
+    goal = _nearest_more(with_source(rows.where("size > 0"), goal.drop("source_size", "target", "repeats")).where((F.col("rest") > 0) & ~extra), goal, small)
     bounds = [F.struct(F.col(f"gap{turn}").alias("gap"), F.col(f"under{turn}").alias("under")) for turn in range(rounds)]
-    state = goal.select(F.col("source").alias("_k"), F.col("source_size").alias("_source_size"), F.col("target").alias("_target"), F.col("repeats").alias("_repeats"), F.array(*bounds).alias("_bounds"))
+    state = goal.select(F.col("source").alias("_k"), F.col("source_size").alias("_source_size"), F.col("target").alias("_target"), F.col("repeats").alias("_repeats"), F.array(*bounds).alias("_bounds"), F.col("more").alias("_more"))
     found = docs.withColumns({"_size": size, "_h": hashed}).join(F.broadcast(state) if small else state, F.col(source_col).eqNullSafe(F.col("_k")))
-    again = (F.col("_size") > 0) & F.exists("_bounds", lambda b: (F.col("_size") <= b["gap"]) & (F.col("_h") < b["under"]))
+    again = (F.col("_size") > 0) & (F.exists("_bounds", lambda b: (F.col("_size") <= b["gap"]) & (F.col("_h") < b["under"])) | F.col("_h").eqNullSafe(F.col("_more")))
     found = found.withColumn("_copies", (F.col("_repeats") + again.cast("long")).cast("long"))
-    return found.withColumn("_taken", F.col("_copies") * F.col("_size")).drop("_k", "_h", "_repeats", "_bounds")
+    return found.withColumn("_taken", F.col("_copies") * F.col("_size")).drop("_k", "_h", "_repeats", "_bounds", "_more")
 
 
 def mix_sources(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
@@ -92,6 +95,16 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame
     return mixed(docs, id_col, **options).select(id_col, *[F.col(f"_{n}").alias(n) for n in names])
 
 
+def _nearest_more(left: DataFrame, goal: DataFrame, small: bool) -> DataFrame:
+    """goal with ``more``, the hash of the documents left (source, size, h, rest) that one source takes besides, or null.
+    Rows that repeat an id have one hash and come together, so what they sum to is looked at again."""
+    off = F.abs(F.col("size") - F.col("rest"))
+    best = left.groupBy(F.col("source").alias("_k")).agg(F.min(F.struct(off.alias("d"), "h"))["h"].alias("more"))
+    chosen = left.join(F.broadcast(best) if small else best, F.col("source").eqNullSafe(F.col("_k")) & (F.col("h") == F.col("more")))
+    sums = chosen.groupBy("_k", "more").agg(F.sum("size").alias("n"), F.max("rest").alias("r")).where(F.abs(F.col("n") - F.col("r")) < F.col("r")).select("_k", "more")
+    return cut(goal.join(F.broadcast(sums) if small else sums, F.col("source").eqNullSafe(F.col("_k")), "left").drop("_k"))
+
+
 def _refined(fit: DataFrame, goal: DataFrame, digits: int, small: bool) -> DataFrame:
     """goal with the boundary found to so many digits: ``prefix`` is the bucket where the sums of the level pass
     ``rest``, and rest loses what lies before it. A source whose documents all fit is no longer open."""

@@ -2,8 +2,8 @@
 
 A configuration is a multiset of lengths that fits one sequence. The program covers every length's count with as few
 configurations as it can. Multiplicative weights give each length a price, which falls as its count gets covered; a
-knapsack dynamic program finds the configuration of the highest price. The solution is rounded under the last prices:
-the best configuration among the pieces left is used as often as their counts allow, until none is left.
+knapsack dynamic program finds the configuration of the highest price. The solution, configurations and how often each is
+used, is rounded down; the pieces that this leaves are filled up one sequence after another under the last prices.
 
 The histogram has at most ``capacity`` rows at any size of the input; only it reaches the driver.
 """
@@ -54,39 +54,43 @@ def token_pieces(docs: DataFrame, id_col: str, text_col: str, capacity: int, pat
     return docs.select(*columns).mapInPandas(each, "id string, piece int, start long, length long, crc long, part int, nth long")
 
 
-def prices(counts: np.ndarray, capacity: int, grain: int = 4, rounds: int = 1500, rate: float = 0.2) -> np.ndarray:
-    """A price for each length 0 to capacity, from multiplicative weights on the program with lengths rounded up to ``grain``."""
-    units = capacity // grain
-    need = np.bincount(-(-np.arange(capacity + 1) // grain), counts, units + 1)
-    sizes = np.flatnonzero(need[: units + 1])
-    sizes = sizes[sizes > 0]
-    weight = sizes / units
-    covered, best, pick = np.zeros(len(sizes)), np.zeros(units + 1), np.zeros(units + 1, np.int64)
-    upto = np.searchsorted(sizes, np.arange(units + 1), "right")
+def program(counts: np.ndarray, capacity: int, rounds: int = 600, rate: float = 0.2) -> tuple[np.ndarray, list[tuple[dict[int, int], float]]]:
+    """Prices of the lengths 0 to capacity, and configurations with how often the program's solution uses each.
+
+    In each round the knapsack's configuration is used as often as covers a share ``rate`` of one of its lengths; a length's
+    price falls with its share covered so far. In the end shares are nearly equal, and uses are scaled to cover all once."""
+    sizes = np.flatnonzero(counts)
+    need, weight = counts[sizes], sizes / capacity
+    covered, best, pick = np.zeros(len(sizes)), np.zeros(capacity + 1), np.zeros(capacity + 1, np.int64)
+    upto = np.searchsorted(sizes, np.arange(capacity + 1), "right").tolist()
+    uses: dict[tuple[tuple[int, int], ...], float] = {}
     for _ in range(rounds):
-        for c in range(1, units + 1):
-            n = upto[c]
+        for c in range(1, capacity + 1):
             best[c], pick[c] = best[c - 1], -1
-            if n:
+            if n := upto[c]:
                 value = best[c - sizes[:n]] + weight[:n]
                 k = value.argmax()
                 if value[k] > best[c]:
                     best[c], pick[c] = value[k], k
-        used, c = np.zeros(len(sizes)), units
+        used, c = np.zeros(len(sizes)), capacity
         while c > 0:
             if pick[c] < 0:
                 c -= 1
             else:
                 used[pick[c]] += 1
                 c -= sizes[pick[c]]
-        share = used / need[sizes]
-        share /= share.max()
-        covered += rate * share
-        weight = sizes / units * np.exp(-0.5 * (covered - covered.mean()))
+        share = used / need
+        times = rate / share.max()
+        key = tuple((int(sizes[k]), int(used[k])) for k in np.flatnonzero(used))
+        uses[key] = uses.get(key, 0.0) + times
+        covered += times * share
+        weight = sizes / capacity * np.exp(-0.5 * (covered - covered.mean()))
         weight /= weight.max()
     price = np.zeros(capacity + 1)
-    price[1:] = np.interp(np.arange(1, capacity + 1) / grain, sizes, weight) if len(sizes) else np.arange(1, capacity + 1) / capacity
-    return price
+    price[1:] = np.interp(np.arange(1, capacity + 1), sizes, weight)
+    # By the words covered: each length's share counts as much as it fills.
+    scale = 1 / max(1e-12, (covered * need * sizes).sum() / (need * sizes).sum())
+    return price, [(dict(key), times * scale) for key, times in uses.items()]
 
 
 def best_filling(lengths: np.ndarray, left: np.ndarray, price: np.ndarray, capacity: int) -> dict[int, int]:
@@ -112,15 +116,22 @@ def best_filling(lengths: np.ndarray, left: np.ndarray, price: np.ndarray, capac
 
 
 def configurations(counts: np.ndarray, capacity: int) -> list[tuple[dict[int, int], int]]:
-    """Configurations and how often each is used; together they hold every piece exactly once."""
+    """Configurations and how often each is used; together they hold every piece exactly once.
+
+    The program's uses are rounded down, and to what pieces are left; the pieces that remain are filled up, the longest
+    first, each with the filling that the program's prices favour, so that no long ones are stranded."""
     left = counts.astype(np.int64).copy()
     found = [({capacity: 1}, int(left[capacity]))] if left[capacity] else []
     left[capacity] = 0
-    if left.any():
-        priced = prices(left, capacity)
+    priced, uses = program(left, capacity) if left.any() else (np.zeros(capacity + 1), [])
+    for used, share in sorted(uses, key=lambda x: (-x[1], sorted(x[0].items()))):
+        times = min(int(share), *(int(left[length]) // m for length, m in used.items()))
+        if times and sum(length * m for length, m in used.items()) == capacity:
+            for length, m in used.items():
+                left[length] -= m * times
+            found.append((used, times))
     while left.any():
         lengths = np.flatnonzero(left)[::-1]
-        # The longest piece left is placed now, with the filling that the prices favour; so no long ones are stranded.
         longest = int(lengths[0])
         left[longest] -= 1
         room = capacity - longest
