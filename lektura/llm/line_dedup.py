@@ -34,24 +34,24 @@ def html_lines(html: Column) -> Column:
     return html
 
 
-def line_dedup(docs: DataFrame, host: Column, text: Column, ratio: float = 0.1, min_pages: int = 10, min_repeats: int = 3, broadcast_lines: int = LINES_TO_BROADCAST) -> DataFrame:
+def line_dedup(docs: DataFrame, host: Column, text: Column, ratio: float = 0.1, min_repeats: int = 3, spare_whole: bool = False, broadcast_lines: int = LINES_TO_BROADCAST) -> DataFrame:
     """All columns of ``docs``, and ``_host``, ``_host_pages``, ``_lines``, ``_dropped`` and ``_kept`` (the text left).
 
     Lines are trimmed for comparing; empty ones neither count nor go. A line goes where it stands on more than
-    ``ratio`` of its host's pages and on ``min_repeats`` at least, if the host has ``min_pages``. A page counts a line
-    once; rows that repeat are pages of their own. A page of which nothing would be left is kept whole: it is a copy,
-    not a frame around something else. A null host is a host; a null text stays null and has no lines.
+    ``ratio`` of its host's pages and on ``min_repeats`` at least. A page counts a line once; rows that repeat are pages
+    of their own. With ``spare_whole`` a page of which nothing would be left is kept as it is: it is a copy, not a frame
+    around something else. A null host is a host; a null text stays null and has no lines.
     Columns of ``docs`` may have any names that do not begin with an underscore.
     """
     split = F.split(text, "\n")
     keyed = F.transform(F.filter(split, _filled), _key)
     pages = docs.withColumns({"_host": host, "_split": split})
-    seen = docs.select(host.alias("_host"), F.array_distinct(F.coalesce(keyed, F.array().cast("array<binary>"))).alias("ks"))
+    seen = docs.select(host.alias("_host"), F.array_distinct(F.coalesce(keyed, F.array().cast("array<string>"))).alias("ks"))
     totals = seen.groupBy("_host").agg(F.count(F.lit(1)).alias("_host_pages"))
     counts = seen.select("_host", F.explode("ks").alias("k")).groupBy("_host", "k").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_repeats)
     totals = cut(totals)
     of = totals.withColumnRenamed("_host", "_h")
-    common = counts.join(of, F.col("_host").eqNullSafe(F.col("_h"))).where((F.col("_host_pages") >= min_pages) & (F.col("n") > ratio * F.col("_host_pages")))
+    common = counts.join(of, F.col("_host").eqNullSafe(F.col("_h"))).where(F.col("n") > ratio * F.col("_host_pages"))
     gone = cut(common.select("_host", "k"))
     hosts = totals.limit(broadcast_lines + 1).count()
     if hosts <= broadcast_lines and gone.limit(broadcast_lines + 1).count() <= broadcast_lines:
@@ -60,11 +60,12 @@ def line_dedup(docs: DataFrame, host: Column, text: Column, ratio: float = 0.1,
         joined = pages.join(F.broadcast(sites), F.col("_host").eqNullSafe(F.col("_h")), "left").drop("_h")
     else:
         joined = _by_row(pages, docs, host, text, keyed, gone, of)
-    # Only pages of a host with such lines are gone through again.
-    left = F.when(F.col("_gone").isNotNull(), F.filter("_split", lambda x: ~_filled(x) | ~F.array_contains("_gone", _key(x)))).otherwise(F.col("_split"))
+    # Only pages of a host with such lines are gone through again; first the host's set is cut down to the page's own lines.
+    joined = joined.withColumn("_gone", F.array_intersect("_gone", keyed))
+    left = F.when(F.size("_gone") > 0, F.filter("_split", lambda x: ~_filled(x) | ~F.array_contains("_gone", _key(x)))).otherwise(F.col("_split"))
     joined = joined.withColumns({"_left": left, "_lines": F.coalesce(F.size(F.filter("_split", _filled)), F.lit(0))})
-    whole = F.col("_gone").isNotNull() & ~F.exists("_left", _filled)
-    joined = joined.withColumn("_left", F.when(whole, F.col("_split")).otherwise(F.col("_left")))
+    if spare_whole:
+        joined = joined.withColumn("_left", F.when((F.size("_gone") > 0) & ~F.exists("_left", _filled), F.col("_split")).otherwise(F.col("_left")))
     dropped = F.when(F.col("_split").isNull(), 0).otherwise(F.size("_split") - F.size("_left")).cast("int")
     return joined.withColumns({"_dropped": dropped, "_kept": F.array_join("_left", "\n")}).drop("_split", "_gone", "_left")
 
@@ -74,7 +75,7 @@ def _filled(line: Column) -> Column:
 
 
 def _key(line: Column) -> Column:
-    return F.unhex(F.md5(F.btrim(line, F.lit(BLANKS))))
+    return F.md5(F.btrim(line, F.lit(BLANKS)))
 
 
 def _by_row(pages: DataFrame, docs: DataFrame, host: Column, text: Column, keyed: Column, gone: DataFrame, of: DataFrame) -> DataFrame:

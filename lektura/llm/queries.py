@@ -92,14 +92,13 @@ ORACLE_SQL: dict[str, str] = {
         lines AS (SELECT r, host, pos, line, trim(line, ' ' || chr(9) || chr(13) || chr(11) || chr(12)) AS k
                   FROM (SELECT r, host, unnest(parts) AS line, generate_subscripts(parts, 1) AS pos FROM pages_)),
         totals AS (SELECT host, count(*) AS host_pages FROM pages_ GROUP BY host),
-        common AS (SELECT l.host, l.k FROM lines l JOIN totals t ON l.host = t.host WHERE l.k <> '' AND t.host_pages >= 10
+        common AS (SELECT l.host, l.k FROM lines l JOIN totals t ON l.host = t.host WHERE l.k <> ''
                    GROUP BY l.host, l.k, t.host_pages HAVING count(DISTINCT r) >= 3 AND count(DISTINCT r) > 0.1 * t.host_pages),
         marked AS (SELECT l.*, c.k IS NOT NULL AS gone FROM lines l LEFT JOIN common c ON l.host = c.host AND l.k = c.k),
         per AS (SELECT r, count(*) FILTER (WHERE k <> '') AS filled, count(*) FILTER (WHERE gone) AS gone,
-                       string_agg(line, chr(10) ORDER BY pos) AS whole, string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone) AS rest
+                       string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone) AS rest
                 FROM marked GROUP BY r)
         SELECT p.page_id, p.host, t.host_pages, CAST(coalesce(x.filled, 0) AS INTEGER) AS lines,
-               CAST(CASE WHEN x.filled > x.gone THEN x.gone ELSE 0 END AS INTEGER) AS dropped,
-               CASE WHEN x.filled > x.gone THEN x.rest ELSE x.whole END AS text
+               CAST(coalesce(x.gone, 0) AS INTEGER) AS dropped, CASE WHEN x.r IS NOT NULL THEN coalesce(x.rest, '') END AS text
         FROM pages_ p JOIN totals t ON p.host = t.host LEFT JOIN per x ON p.r = x.r""",
 }

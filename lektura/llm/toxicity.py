@@ -1,8 +1,8 @@
-"""Toxicity by a lexicon trie that Levenshtein automata walk, with scores of the context of each match.
+"""Toxicity by Levenshtein automata intersected with a lexicon trie, with scores of the context of each match.
 
 The lexicon is learned: word beginnings and whole words that toxic training texts hold far more often than clean ones,
-one text of each group of near copies counting once. A text's words are matched by walking the trie with the row of
-edit distances of the word, so one walk tries every term with an edit; rows without a small enough entry end a branch.
+one text of each group of near copies counting once. A text's words are matched by walking the trie and the word's
+Levenshtein automaton together, so one walk tries every term within the distance; a branch ends where the automaton dies.
 Each match is weighed by its surroundings: between quotation marks or near a word of reporting, and not near an
 address, it is a quotation; several within a few words are abuse. A logistic regression over these sums scores a text.
 """
@@ -23,7 +23,7 @@ from lektura.llm.common import bounded, cut, held_out, small_batches
 
 WORD = re.compile(r"[^\W\d_]+")
 WINDOW = 8
-EDITED_FROM = 5  # terms of fewer letters match without edits only
+EDITED_FROM = 5  # for each edit a term must have so many letters; shorter ones match without edits only
 QUOTES = "\"“”„«»‹›‘’"
 #: Words of reporting and of address, in the corpus's languages.
 REPORTING = frozenset("said says wrote writes called calls quote quoted quotes word words term insult insults slur slurs sagte schrieb nannte wort begriff dit écrit appelé mot dijo escribió llamó palabra".split())
@@ -31,12 +31,57 @@ ADDRESS = frozenset("you your yours yourself u ur du dich dir dein deine ihr euc
 FEATURES = 7
 
 
+class Levenshtein:
+    """The automaton of the strings within ``distance`` edits of a word, made state by state.
+
+    A state is the set of (letters of the word used, edits made) that reading a string can lead to, without those that
+    another of the state makes needless. Seen from its first place, a state's step depends only on which of the word's
+    next letters are the letter read, so steps are kept in one table for all words."""
+
+    steps: dict[tuple, tuple[int, tuple] | None] = {}
+
+    def __init__(self, word: str, distance: int):
+        self.n, self.distance, self.places = len(word), distance, {}
+        for i, letter in enumerate(word):
+            self.places[letter] = self.places.get(letter, 0) | 1 << i
+        self.start = 0, ((0, 0),)
+
+    def step(self, state: tuple[int, tuple], letter: str) -> tuple[int, tuple] | None:
+        """The state after one letter more; None if no string that begins so is near enough."""
+        base, own = state
+        width = min(self.n - base, 2 * self.distance + 1)
+        key = self.distance, own, width, self.places.get(letter, 0) >> base & (1 << width) - 1
+        if key not in self.steps:
+            self.steps[key] = self._step(*key)
+        found = self.steps[key]
+        return found and (base + found[0], found[1])
+
+    @staticmethod
+    def _step(distance: int, own: tuple, width: int, same: int) -> tuple[int, tuple] | None:
+        after = set()
+        for at, edits in own:
+            for skipped in range(min(distance - edits, width - at - 1) + 1):  # letters of the word left out
+                if same >> at + skipped & 1:
+                    after.add((at + skipped + 1, edits + skipped))
+            if edits < distance:
+                after.add((at, edits + 1))  # a letter too many
+                if at < width:
+                    after.add((at + 1, edits + 1))  # another letter
+        kept = sorted(x for x in after if not any(y != x and x[1] - y[1] >= abs(x[0] - y[0]) and y[1] < x[1] for y in after))
+        return (kept[0][0], tuple((at - kept[0][0], edits) for at, edits in kept)) if kept else None
+
+    def edits(self, state: tuple[int, tuple], whole: bool) -> int:
+        """The fewest edits between the string read and the word, or a beginning of the word if not ``whole``."""
+        return min(edits + (self.n - state[0] - at) * whole for at, edits in state[1])
+
+
 @dataclass
 class Lexicon:
     """Terms: beginnings of words, or whole words marked by a last ``$``; by term its strength and whether edits count."""
 
     terms: dict[str, float]
     strict: frozenset[str] = frozenset()
+    distance: int = 1
     memo: dict[str, tuple[str, int] | None] = field(default_factory=dict, repr=False)
     trie: dict = field(default_factory=dict, repr=False)
 
@@ -44,22 +89,23 @@ class Lexicon:
         self.whole = {t[:-1] for t in self.terms if t.endswith("$")}
         self.begins = {t for t in self.terms if not t.endswith("$")}
         self.lengths = sorted({len(t) for t in self.begins})
-        self.halves: dict[tuple[int, int], set[str]] = {}  # one edit leaves the first or the second half of a term as it is
+        self.parts: dict[tuple[int, int], set[str]] = {}  # of a term cut into one part more than there are edits, one stays as it is
         for term in self.terms:
             letters = term.rstrip("$")
-            if len(letters) < EDITED_FROM or term in self.strict:
+            if len(letters) < EDITED_FROM * self.distance or term in self.strict:
                 continue
             node = self.trie
             for c in letters:
                 node = node.setdefault(c, {})
-            node[""] = term
-            half = len(letters) // 2
-            self.halves.setdefault((0, half), set()).add(letters[:half])
-            for at in (half - 1, half, half + 1):
-                self.halves.setdefault((at, len(letters) - half), set()).add(letters[half:])
+            node.setdefault("", []).append(term)
+            cuts = [len(letters) * k // (self.distance + 1) for k in range(self.distance + 2)]
+            for k, (lo, hi) in enumerate(zip(cuts, cuts[1:])):
+                for at in range(lo - self.distance, lo + self.distance + 1) if k else (0,):
+                    if at >= 0:
+                        self.parts.setdefault((at, hi - lo), set()).add(letters[lo:hi])
 
     def __getstate__(self):
-        return {"terms": self.terms, "strict": self.strict}
+        return {"terms": self.terms, "strict": self.strict, "distance": self.distance}
 
     def __setstate__(self, state):
         self.__init__(**state)
@@ -80,26 +126,25 @@ class Lexicon:
                 return word[:n], 0
         if word in self.whole:
             return word + "$", 0
-        if any(word[at : at + n] in known for (at, n), known in self.halves.items()):
-            term = self._walk(word)
-            return (term, 1) if term else None
+        if any(word[at : at + n] in known for (at, n), known in self.parts.items()):
+            return self.nearest(word)
         return None
 
-    def _walk(self, word: str) -> str | None:
-        stack = [(self.trie, list(range(len(word) + 1)))]
+    def nearest(self, word: str) -> tuple[str, int] | None:
+        """The term of the fewest edits from the word, the first by name of equals, by walking trie and automaton."""
+        automaton, best = Levenshtein(word, self.distance), None
+        stack = [(self.trie, automaton.start)]
         while stack:
-            node, row = stack.pop()
-            for c, child in node.items():
-                if c == "":
-                    if (row[-1] if child.endswith("$") else min(row)) <= 1:
-                        return child
-                    continue
-                new = [row[0] + 1]
-                for j, letter in enumerate(word, 1):
-                    new.append(min(row[j] + 1, new[j - 1] + 1, row[j - 1] + (letter != c)))
-                if min(new) <= 1:
-                    stack.append((child, new))
-        return None
+            node, state = stack.pop()
+            for letter, child in node.items():
+                if letter == "":
+                    for term in child:
+                        edits = automaton.edits(state, term.endswith("$"))
+                        if edits <= self.distance and (best is None or (edits, term) < best):
+                            best = edits, term
+                elif after := automaton.step(state, letter):
+                    stack.append((child, after))
+        return best and (best[1], best[0])
 
     def hits(self, text: str) -> list[tuple[str, int, int, bool]]:
         """Term, edits, word number and whether quoted, of each match in the lower-cased text."""
@@ -160,16 +205,17 @@ def candidates(texts: Iterator[str]) -> Counter:
     return found
 
 
-def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows: int = 20_000, terms: int = 400, times: float = 20.0) -> Model:
+def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows: int = 20_000, times: float = 20.0) -> Model:
     """Fits on a bounded sample: ``rows`` labelled rows at most, drawn by hash of the id; rows that have several labels
-    are toxic if one says so. A term stands in ``times`` times the share of toxic texts as of clean ones; of a term
-    and its own beginnings the shortest that qualifies counts, drawn out as far as its texts agree; ``terms`` at most."""
+    are toxic if one says so; of rows that repeat an id the smallest text counts. A term stands in ``times`` times the
+    share of toxic texts as of clean ones; of a term and its own beginnings the shortest that qualifies counts, drawn out
+    as far as its texts agree. The sample bounds the number of terms. Null ids and labels teach nothing."""
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col)).groupBy(id_col).agg(F.max(label_col).cast("int").alias("y"))
     drawn = cut(known.orderBy(F.xxhash64(id_col), id_col).limit(rows))
-    texts = docs.select(id_col, F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(bounded(drawn, rows), id_col).select("text", "y")
+    texts = docs.select(id_col, F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(bounded(drawn, rows), id_col).groupBy(id_col).agg(F.min("text").alias("text"), F.max("y").alias("y"))
     # Near copies mostly share the smallest hash of three words in a row, which others hardly do.
     three = F.transform(F.sequence(F.lit(1), F.greatest(F.size("ws") - 2, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice("ws", i, 3), " ")))
-    sample = cut(texts.withColumn("ws", F.split(F.lower("text"), r"\s+")).withColumn("near", F.array_min(three)).dropDuplicates(["near", "y"]).select("text", "y"))
+    sample = cut(texts.withColumn("ws", F.split(F.lower("text"), r"\s+")).withColumn("near", F.array_min(three)).groupBy("near", "y").agg(F.min("text").alias("text")).select("text", "y"))
     n = {r["y"]: r["count"] for r in sample.groupBy("y").count().collect()}
     n_toxic, n_clean = sum(c for y, c in n.items() if y), n.get(0, 0)
     if not n_toxic or not n_clean:
@@ -185,13 +231,13 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     split = sample.repartition(64).mapInPandas(count, "term string, y int, n long").groupBy("term").agg(F.sum(F.when(F.col("y") > 0, F.col("n")).otherwise(0)).alias("t"), F.sum(F.when(F.col("y") == 0, F.col("n")).otherwise(0)).alias("c"))
     ratio = F.log((F.col("t") + 0.5) / (n_toxic + 1)) - F.log((F.col("c") + 0.5) / (n_clean + 1))
     best = split.where(F.col("t") >= max(3, min(8, n_toxic // 10), n_toxic // 50)).withColumn("strength", ratio).where(F.col("strength") >= float(np.log(times)))
-    found = best.orderBy(F.desc("t"), "term").limit(20 * terms).collect()  # bounded by the parameter
+    found = best.collect()  # terms of several texts of the sample, which ``rows`` bounds
     by_term = {r["term"]: r for r in found}
     kept: dict[str, float] = {}
     shortest: set[str] = set()
     for term in sorted(by_term, key=lambda t: (len(t.rstrip("$")), t)):
         letters = term.rstrip("$")
-        if len(kept) < terms and not any(letters[:k] in shortest for k in range(4, len(letters) + 1)):
+        if not any(letters[:k] in shortest for k in range(4, len(letters) + 1)):
             shortest.add(term)
             # As long as nearly all its texts have one longer form, that is the term.
             longer = [t for t in by_term if t.startswith(term) and not t.endswith("$") and by_term[t]["t"] >= 0.9 * by_term[term]["t"]]
@@ -249,6 +295,11 @@ def scored(docs: DataFrame, model: Model, text_col: str = "text", threshold: flo
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Learns from the labelled rows that are not held out and scores every row: id, held_out, score, predicted, hits, quoted."""
+    """Learns from the labelled rows that are not held out and scores every row: id, held_out, score, predicted, hits, quoted.
+
+    Null and empty texts have the score of texts without matches; whole texts are read, long ones too. Rows that repeat an
+    id are scored each for itself; a null id is not held out. Without labels of both kinds all rows have one low score; an
+    empty table gives an empty result; other columns are ignored.
+    """
     found = scored(docs, learn(docs, labels, id_col))
     return found.select(id_col, held_out(id_col).alias("held_out"), "_toxic.score", "_toxic.predicted", "_toxic.hits", "_toxic.quoted")

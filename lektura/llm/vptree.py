@@ -22,6 +22,7 @@ from lektura.llm.common import cut
 LEAF = 64
 SHARD = 8192
 BLOCK = 1024
+NONE = np.iinfo(np.int64).max  # no neighbour
 
 
 class VpTree:
@@ -32,7 +33,8 @@ class VpTree:
         new = np.append(True, (vectors[1:] != vectors[:-1]).any(axis=1))
         nth = np.arange(len(ids)) - np.maximum.accumulate(np.where(new, np.arange(len(ids)), 0))
         self.ids, self.x = ids[nth < keep], vectors[nth < keep]
-        norms = (self.x * self.x).sum(axis=1)
+        self.y = self.x / np.abs(self.x).max()  # distances are of scaled vectors, whose squares do not overflow
+        norms = (self.y * self.y).sum(axis=1)
         self.longest = norms.max()
         self.extra = np.sqrt(np.maximum(self.longest - norms, 0))
         self.nodes: list[tuple] = []
@@ -43,7 +45,7 @@ class VpTree:
     def _build(self, at: np.ndarray) -> int:
         if len(at) > LEAF:
             vantage = int(self.rng.choice(at))
-            square = 2 * self.longest - 2 * (self.x[at] @ self.x[vantage] + self.extra[at] * self.extra[vantage])
+            square = 2 * self.longest - 2 * (self.y[at] @ self.y[vantage] + self.extra[at] * self.extra[vantage])
             distance = np.sqrt(np.maximum(square, 0))
             border = float(np.median(distance))
             near = distance <= border
@@ -55,13 +57,16 @@ class VpTree:
         return len(self.nodes) - 1
 
     def search(self, ids: np.ndarray, queries: np.ndarray, k: int, factor: float) -> tuple[np.ndarray, np.ndarray]:
-        """Ids (-1: none) and inner products of the k nearest of each query, its own id left out; ties to the smaller id."""
+        """Ids and inner products of the k nearest of each query, its own id left out, ties to the smaller id; where there
+        are fewer, NONE as id."""
         self.q, self.qid, self.k, self.factor = queries, ids, k, factor
-        self.q2 = (queries * queries).sum(axis=1)
+        self.p = queries / np.abs(queries).max(axis=1, keepdims=True)
+        self.p2 = (self.p * self.p).sum(axis=1)
         self.best = np.full((len(ids), k), -np.inf)
-        self.found = np.full((len(ids), k), np.iinfo(np.int64).max)
+        self.scaled = np.full((len(ids), k), -np.inf)
+        self.found = np.full((len(ids), k), NONE)
         self._visit(self.root, np.arange(len(ids)))
-        return np.where(np.isinf(self.best), -1, self.found), self.best
+        return self.found, self.best
 
     def _visit(self, node: int, who: np.ndarray) -> None:
         if not len(who):
@@ -69,24 +74,23 @@ class VpTree:
         if len(self.nodes[node]) == 1:
             at = self.nodes[node][0]
             # Sums in one order, so that equal vectors have equal products whatever the block.
-            products = np.einsum("qd,xd->qx", self.q[who], self.x[at])
-            products[self.qid[who][:, None] == self.ids[at][None, :]] = -np.inf
-            rows = np.flatnonzero(products.max(axis=1) >= self.best[who, -1])
-            if len(rows):
-                who, products = who[rows], products[rows]
-                score = np.hstack([self.best[who], products])
-                ids = np.hstack([self.found[who], np.broadcast_to(self.ids[at], products.shape)])
-                ids = np.where(np.isinf(score), np.iinfo(np.int64).max, ids)
-                order = np.lexsort((ids, -score), axis=-1)[:, : self.k]
-                self.best[who] = np.take_along_axis(score, order, axis=1)
-                self.found[who] = np.take_along_axis(ids, order, axis=1)
+            with np.errstate(over="ignore", invalid="ignore"):
+                products = np.einsum("qd,xd->qx", self.q[who], self.x[at])
+            scaled = self.p[who] @ self.y[at].T
+            products = np.where(np.isnan(products), np.copysign(np.inf, scaled), products)  # too large on both sides of zero
+            ids = np.where(self.qid[who][:, None] == self.ids[at][None, :], NONE, self.ids[at][None, :])
+            score = np.hstack([self.best[who], products])
+            ids, scaled = np.hstack([self.found[who], ids]), np.hstack([self.scaled[who], scaled])
+            order = np.lexsort((ids, -score, ids == NONE), axis=-1)[:, : self.k]
+            self.best[who], self.found[who], self.scaled[who] = (np.take_along_axis(x, order, axis=1) for x in (score, ids, scaled))
             return
         vantage, border, inner, outer = self.nodes[node]
-        distance = np.sqrt(np.maximum(self.q2[who] + self.longest - 2 * (self.q[who] @ self.x[vantage]), 0))
+        distance = np.sqrt(np.maximum(self.p2[who] + self.longest - 2 * (self.p[who] @ self.y[vantage]), 0))
         inside = distance <= border
         self._visit(inner, who[inside])
         self._visit(outer, who[~inside])
-        reach = np.sqrt(np.maximum(self.q2[who] + self.longest - 2 * self.best[who, -1], 0)) / self.factor
+        worst = np.where(self.found[who, -1] == NONE, -np.inf, self.scaled[who].min(axis=1))
+        reach = np.sqrt(np.maximum(self.p2[who] + self.longest - 2 * worst, 0)) / self.factor
         cross = np.abs(distance - border) <= reach + 1e-9
         self._visit(outer, who[inside & cross])
         self._visit(inner, who[~inside & cross])
@@ -97,11 +101,11 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, factor: float =
     in double precision, its own id left out, ties to the smaller id; fewer if there are fewer.
 
     Vectors that are null, zero, or hold a null or a component that is not finite take no part on either side, nor do
-    rows of a null id; vectors meet those of their own number of components only. Rows that repeat an id and vector
-    count once. Other columns are ignored.
+    rows of a null id; vectors meet those of their own number of components only. Of rows that repeat an id the smallest
+    vector counts. A product beyond the range of doubles is infinite. Other columns are ignored.
     """
     index, asked = _usable(vectors, id_col, vector_col), _usable(queries, id_col, vector_col)
-    index = cut(index.distinct())
+    index = cut(index.groupBy("id").agg(F.min("v").alias("v")).withColumn("dim", F.size("v")))
     sizes = {r["dim"]: r["count"] for r in index.groupBy("dim").count().collect()}  # one row for each number of components
     shards = F.create_map(*[x for dim, n in sizes.items() for x in (F.lit(dim), F.lit(-(-n // shard_rows)))]) if sizes else F.create_map(F.lit(0), F.lit(1))
     trees = index.withColumn("shard", F.pmod(F.xxhash64("id"), shards[F.col("dim")]).cast("int"))
@@ -111,7 +115,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, factor: float =
         return pd.DataFrame({"dim": rows["dim"].iloc[:1], "shard": rows["shard"].iloc[:1], "tree": [pickle.dumps(tree)]})
 
     trees = cut(trees.groupBy("dim", "shard").applyInPandas(build, "dim int, shard int, tree binary"))
-    asked = cut(asked.distinct())
+    asked = cut(asked.groupBy("id").agg(F.min("v").alias("v")).withColumn("dim", F.size("v")))
     blocks = max(1, -(-asked.count() // block_rows))
 
     def gather(rows: pd.DataFrame) -> pd.DataFrame:
@@ -125,7 +129,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, factor: float =
         tree, (ids, q) = pickle.loads(rows["tree"].iloc[0]), pickle.loads(rows["queries"].iloc[0])
         found, score = tree.search(ids, q, k, factor)
         out = pd.DataFrame({"query_id": np.repeat(ids, k), "id": found.ravel(), "score": score.ravel()})
-        return out[~np.isinf(out["score"])]
+        return out[out["id"] != NONE]
 
     pairs = spread.join(trees, ["dim", "shard"]).groupBy("dim", "shard", "block").applyInPandas(search, "query_id long, id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
