@@ -118,15 +118,19 @@ def facts(rows: DataFrame, key: str, text: Column, rules: Sequence[tuple[str, st
     return each.where((F.length("fact") >= least) & ~F.regexp_like("fact", F.lit(r"^\d+(?:[.,]\d+)?\s*%$")))
 
 
-def tree_paths(nodes: DataFrame, depth: int = 30) -> DataFrame:
+def tree_paths(nodes: DataFrame) -> DataFrame:
     """id, depth, path (names joined by `` > ``), place: nodes (id, parent, name, nth) under their roots, which have
-    no parent; a node that is its own ancestor is not followed again. One join a level, until a level is empty."""
+    no parent; a node that is its own ancestor is not followed again. One join a level, until a level is empty; a level
+    is kept while the next is made, so that none is made twice."""
     level = nodes.where("parent is null").select("id", F.lit(0).alias("depth"), F.array("name").alias("names"), F.array("nth").alias("place"), F.array("id").alias("seen"))
-    found = level
-    for d in range(1, depth):
-        children = nodes.select(F.col("id").alias("_c"), F.col("parent").alias("id"), "name", "nth")
-        level = level.join(children, "id").where(~F.array_contains("seen", F.col("_c"))).select(F.col("_c").alias("id"), F.lit(d).alias("depth"), F.array_append("names", F.col("name")).alias("names"), F.array_append("place", F.col("nth")).alias("place"), F.array_append("seen", F.col("_c")).alias("seen"))
+    children, levels = nodes.select(F.col("id").alias("_c"), F.col("parent").alias("id"), "name", "nth"), []
+    while True:
+        level = level.persist()
         if level.isEmpty():
             break
-        found = found.union(level)
+        levels.append(level)
+        level = level.join(children, "id").where(~F.array_contains("seen", F.col("_c"))).select(F.col("_c").alias("id"), F.lit(len(levels)).alias("depth"), F.array_append("names", F.col("name")).alias("names"), F.array_append("place", F.col("nth")).alias("place"), F.array_append("seen", F.col("_c")).alias("seen"))
+    found = level
+    for each in levels:
+        found = found.union(each)
     return found.select("id", "depth", F.array_join("names", " > ").alias("path"), "place")

@@ -120,8 +120,9 @@ def quality(sections: Column, has_references: Column, length: Column, overlap: C
 
 
 def decision(confidence: Column, safe: Column, good: Column, is_valid: Column, least: float = 0.7) -> Column:
-    """ACCEPT where the combined score reaches ``least`` and the row is valid, REVIEW over .5, else REJECT."""
-    combined = 0.4 * confidence + 0.3 * safe + 0.3 * good
+    """ACCEPT where the combined score reaches ``least`` and the row is valid, REVIEW over .5, else REJECT. The score is
+    rounded, so that a row on a border does not hang on the last bit."""
+    combined = F.round(0.4 * confidence + 0.3 * safe + 0.3 * good, 9)
     return F.when(is_valid & (combined >= least), "ACCEPT").when(combined > 0.5, "REVIEW").otherwise("REJECT")
 
 

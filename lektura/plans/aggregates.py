@@ -83,10 +83,10 @@ def a9(t: Tables) -> DataFrame:
     return t.orders.rollup("o_orderpriority", "o_orderstatus").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("o_totalprice") > 100000, 1)).alias("answered"))
 
 
-@query("a10_question_index", """SELECT lower(substr(text, 1, 12)) AS key, arg_min(text, doc_id) AS display, string_agg(DISTINCT source, ',' ORDER BY source) AS sources, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id) AS occurrences FROM documents GROUP BY 1""")
+@query("a10_question_index", """SELECT lower(text) AS key, arg_min(text, doc_id) AS display, string_agg(DISTINCT source, ',' ORDER BY source) AS sources, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id) AS occurrences FROM documents GROUP BY 1""")
 def a10(t: Tables) -> DataFrame:
     ids = F.transform(F.sort_array(F.collect_list("doc_id")), lambda x: x.cast("string"))
-    return t.documents.groupBy(F.lower(F.substring("text", 1, 12)).alias("key")).agg(F.min_by("text", "doc_id").alias("display"), F.array_join(F.sort_array(F.collect_set("source")), ",").alias("sources"), F.array_join(ids, ",").alias("occurrences"))
+    return t.documents.groupBy(F.lower("text").alias("key")).agg(F.min_by("text", "doc_id").alias("display"), F.array_join(F.sort_array(F.collect_set("source")), ",").alias("sources"), F.array_join(ids, ",").alias("occurrences"))
 
 
 @query("a11_merged_contexts", """WITH e AS (SELECT o_custkey, o_orderkey, nullif(o_orderstatus, 'P') AS status, o_orderpriority AS p, CAST(o_totalprice AS VARCHAR) AS excerpt FROM orders)

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from lektura.functions import text as X
 from lektura.functions.rules import all_matches, any_match, confidence, first_match, hit_count, weighted_scores
+from lektura.operators import classify as C
 from lektura.operators import validate as V
+from lektura.operators.classify import Rules
 from lektura.plans.projections import STOP, STOP_SQL, WORDS_SQL
 from lektura.plans.registry import query
 from lektura.session import Tables
@@ -16,10 +18,10 @@ KEYWORDS = (("law", "the", 1.0), ("law", "from", 2.5), ("study", "tion", 2.0), (
 KEYWORDS_SQL = "k(category, keyword, weight) AS (VALUES " + ", ".join(f"('{c}', '{w}', {x}::DOUBLE)" for c, w, x in KEYWORDS) + ")"
 
 
-@query("k1_weighted_category", f"""WITH {KEYWORDS_SQL}, w AS (SELECT doc_id, unnest({WORDS_SQL.format('text')}) AS keyword FROM documents), s AS (SELECT doc_id, category, sum(weight) AS score, string_agg(w.keyword, ',' ORDER BY w.keyword) AS keywords FROM w JOIN k ON w.keyword = k.keyword GROUP BY 1, 2),
+@query("k1_weighted_words", f"""WITH {KEYWORDS_SQL}, w AS (SELECT doc_id, unnest({WORDS_SQL.format('text')}) AS keyword FROM documents), s AS (SELECT doc_id, category, sum(weight) AS score, string_agg(w.keyword, ',' ORDER BY w.keyword) AS keywords FROM w JOIN k ON w.keyword = k.keyword GROUP BY 1, 2),
     r AS (SELECT *, row_number() OVER o AS n, lead(score) OVER o AS second FROM s WINDOW o AS (PARTITION BY doc_id ORDER BY score DESC, category))
     SELECT doc_id, category, score, keywords, round(CASE WHEN second IS NULL THEN 1 ELSE least(1, (score - second) / score + least(score / 20, 0.3::DOUBLE)) END, 6) AS confidence FROM r WHERE n = 1""")
-def k1(t: Tables) -> DataFrame:
+def k1_words(t: Tables) -> DataFrame:
     weights = t.spark.createDataFrame(KEYWORDS, "category string, keyword string, weight double")
     scores = weighted_scores(t.documents, "doc_id", X.words(F.col("text")), weights)
     order = Window.partitionBy("doc_id").orderBy(F.desc("score"), "category")
@@ -27,14 +29,66 @@ def k1(t: Tables) -> DataFrame:
     return best.select("doc_id", "category", "score", F.array_join("keywords", ",").alias("keywords"), F.round(confidence(F.col("score"), F.col("second")), 6).alias("confidence"))
 
 
-@query("k2_source_override", f"""WITH {KEYWORDS_SQL}, w AS (SELECT doc_id, source, unnest({WORDS_SQL.format('text')}) AS keyword FROM documents), s AS (SELECT doc_id, category, sum(weight) AS score FROM w JOIN k USING (keyword) GROUP BY 1, 2), b AS (SELECT doc_id, arg_min(category, (-score, category)) AS category, max(score) AS score FROM s GROUP BY 1)
-    SELECT d.doc_id, CASE WHEN d.source IN ('src1', 'src2') THEN 'law' WHEN b.score >= 3 THEN b.category ELSE 'other' END AS category FROM documents d LEFT JOIN b ON d.doc_id = b.doc_id""")
+#: Rules over the corpus's languages: phrases that decide, weighted keywords, codes, word groups, words against.
+RULES = Rules(
+    exclusive=(("licensed under", "law"), ("terms of use", "law")),
+    keywords=(("law", "license", 2.5), ("law", "the", 1.0), ("study", "tion", 0.5), ("study", "est", 1.0), ("care", "pour", 3.0), ("care", "avec", 1.5), ("trade", "que", 2.0), ("trade", "der", 1.0), ("trade", "handel", 2.0)),
+    codes=(("AB", "care"), ("C", "study")),
+    other_codes="general",
+    groups=((("erthe", "oreau"), "care", 1.5), (("schen", "keit"), "study", 1.5)),
+    against=(("law", ("etre", "ung ")), ("trade", ("this", "that"))),
+    default="general",
+)
+SOURCES = (("src11", "care"), ("src7", "law"))
+
+
+def _there(keyword: str) -> str:
+    edge = r"[^\p{L}\p{N}_]"
+    return f"regexp_matches(low, '(^|{edge}){keyword}($|{edge})')" if len(keyword) <= 4 else f"contains(low, '{keyword}')"
+
+
+def rules_sql(rules: Rules, text: str) -> str:
+    """``category_scores`` as SQL: rows doc_id, source, category, score over the table d(doc_id, source, text)."""
+    any_of = lambda words: "(" + " OR ".join(f"contains(low, '{w}')" for w in words) + ")"
+    known, made = "".join(x for x, _ in rules.codes), []
+    for category in rules.categories:
+        parts = [f"CASE WHEN {_there(w)} THEN {x}::DOUBLE ELSE 0 END" for c, w, x in rules.keywords if c == category]
+        parts += [f"2.0::DOUBLE * len(list_filter(codes, lambda x: contains('{letters}', x)))" for letters, c in rules.codes if c == category]
+        parts += [f"2.0::DOUBLE * len(list_filter(codes, lambda x: NOT contains('{known}', x)))"] if category == rules.other_codes else []
+        for k, (words, c, points) in enumerate(rules.groups):
+            if c == category:
+                parts.append(f"CASE WHEN {' AND '.join([any_of(words)] + ['NOT ' + any_of(w) for w, _, _ in rules.groups[:k]])} THEN {points}::DOUBLE ELSE 0 END")
+        half = "".join(f" * CASE WHEN {any_of(words)} THEN 0.5::DOUBLE ELSE 1 END" for c, words in rules.against if c == category)
+        made.append(f"SELECT doc_id, source, low, '{category}' AS category, ({' + '.join(parts)}){half} AS score FROM c")
+    return rf"c AS (SELECT doc_id, source, lower(coalesce({text}, '')) AS low, list_transform(regexp_extract_all(upper(coalesce({text}, '')), '\b([A-TV-Z]\d{{2}}(?:\.\d{{1,2}})?)\b', 1), lambda x: x[1]) AS codes FROM d), s AS ({' UNION ALL '.join(made)})"
+
+
+def choice_sql(rules: Rules, sources: tuple = ()) -> str:
+    phrase = "CASE " + " ".join(f"WHEN contains(low, '{p}') THEN '{c}'" for p, c in rules.exclusive) + " END"
+    source = "CASE " + " ".join(f"WHEN contains(lower(coalesce(source, '')), '{p}') THEN '{c}'" for p, c in sources) + " END" if sources else "NULL::VARCHAR"
+    return f"""r AS (SELECT *, row_number() OVER o AS n, lead(score) OVER o AS second, {phrase} AS phrase, {source} AS given FROM s WINDOW o AS (PARTITION BY doc_id ORDER BY score DESC, category))
+    SELECT doc_id, coalesce(given, phrase, CASE WHEN score > 0 THEN category END, '{rules.default}') AS category, CASE WHEN given IS NOT NULL OR phrase IS NOT NULL THEN 10 ELSE score END AS score,
+           round(CASE WHEN given IS NOT NULL OR phrase IS NOT NULL THEN 1 WHEN score = 0 THEN 0 WHEN second = 0 THEN 1 ELSE least(1, (score - second) / score + least(score / 20, 0.3::DOUBLE)) END, 6) AS confidence,
+           CASE WHEN given IS NOT NULL THEN 'source' WHEN phrase IS NOT NULL THEN 'phrase' WHEN score > 0 THEN 'score' ELSE 'none' END AS method FROM r WHERE n = 1"""
+
+
+CODED_SQL = "d AS (SELECT doc_id, source, coalesce(text, '') || CASE doc_id % 6 WHEN 1 THEN ' A12.3' WHEN 2 THEN ' C50, x77' ELSE '' END AS text FROM documents)"
+
+
+def coded(t: Tables) -> DataFrame:
+    """Documents with diagnosis codes after every third text."""
+    code = F.when(F.col("doc_id") % 6 == 1, " A12.3").when(F.col("doc_id") % 6 == 2, " C50, x77").otherwise("")
+    return t.documents.select("doc_id", "source", F.concat(F.coalesce("text", F.lit("")), code).alias("text"))
+
+
+@query("k1_weighted_category", f"WITH {CODED_SQL}, {rules_sql(RULES, 'text')}, {choice_sql(RULES)}")
+def k1(t: Tables) -> DataFrame:
+    return C.categorised(coded(t), F.col("text"), RULES).select("doc_id", "category", "score", "confidence", "method")
+
+
+@query("k2_source_override", f"WITH {CODED_SQL}, {rules_sql(RULES, 'text')}, {choice_sql(RULES, SOURCES)}")
 def k2(t: Tables) -> DataFrame:
-    weights = t.spark.createDataFrame(KEYWORDS, "category string, keyword string, weight double")
-    scores = weighted_scores(t.documents, "doc_id", X.words(F.col("text")), weights)
-    best = scores.groupBy("doc_id").agg(F.min_by("category", F.struct(-F.col("score"), "category")).alias("category"), F.max("score").alias("score"))
-    named = F.when(F.col("source").isin("src1", "src2"), "law").when(F.col("score") >= 3, F.col("category")).otherwise("other")
-    return t.documents.select("doc_id", "source").join(best, "doc_id", "left").select("doc_id", named.alias("category"))
+    return C.categorised(coded(t), F.col("text"), RULES, F.col("source"), SOURCES).select("doc_id", "category", "score", "confidence", "method")
 
 
 TYPES = {"license": ("License", "Apache"), "data": (r"\d{5,}", "%%%"), "table": (r" \| ", "&&&")}
@@ -172,35 +226,42 @@ def a27(t: Tables) -> DataFrame:
     return doses(t).groupBy("code").agg(F.count(F.lit(1)).alias("n"))
 
 
-COVER_SQL = f"WITH d AS (SELECT doc_id, list_filter({WORDS_SQL.format('substr(text, 1, 300)')}, lambda x: NOT list_contains({STOP_SQL}, x)) AS a, list_filter({WORDS_SQL.format('substr(text, 200, 600)')}, lambda x: NOT list_contains({STOP_SQL}, x)) AS b, n_chars FROM documents), c AS (SELECT *, CASE WHEN len(b) = 0 THEN 0.3 WHEN len(a) = 0 THEN 0.7 ELSE greatest(0.3, len(list_intersect(a, b)) / greatest(len(a), 1)) END AS covered FROM d)"
+#: A question and the turn after it, which answers it; sections and references are what the answer's own text has.
+COVER_SQL = rf"""WITH t AS (SELECT conv_id, turn, text, list_filter({WORDS_SQL.format('text')}, lambda x: NOT list_contains({STOP_SQL}, x)) AS w FROM conversations),
+    d AS (SELECT a.conv_id, a.turn, a.text, length(coalesce(a.text, '')) AS n, a.w AS a, q.w AS b FROM t q JOIN t a ON q.conv_id = a.conv_id AND a.turn = q.turn + 1),
+    c AS (SELECT *, CASE WHEN len(b) = 0 THEN 0.3 WHEN len(a) = 0 THEN 0.7 ELSE greatest(0.3, len(list_intersect(a, b)) / greatest(len(a), 1)) END AS covered,
+          len(regexp_extract_all(coalesce(text, ''), '[0-9]{{5,}}')) AS errors, len(regexp_extract_all(coalesce(text, ''), '[?]')) AS warnings,
+          least(5, len(regexp_extract_all(coalesce(text, ''), '\n')) + 1) AS sections, regexp_matches(coalesce(text, ''), 'https?://|[0-9]{{4}}') AS refs FROM d)"""
 
 
 def covered(t: Tables) -> DataFrame:
-    a, b = X.words(F.substring("text", 1, 300), stop=STOP), X.words(F.substring("text", 200, 600), stop=STOP)
-    return t.documents.select("doc_id", "n_chars", a.alias("a"), b.alias("b")).withColumn("covered", V.coverage(F.col("a"), F.col("b")))
+    said = t.conversations.select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("text"), X.words(F.col("text"), stop=STOP).alias("a"))
+    asked = said.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("a").alias("b"))
+    return said.join(asked, ["conv_id", "turn"]).select(
+        "conv_id", "turn", F.length("text").alias("n"), V.coverage(F.col("a"), F.col("b")).alias("covered"), F.regexp_count("text", F.lit("[0-9]{5,}")).alias("errors"), F.regexp_count("text", F.lit("[?]")).alias("warnings"),
+        F.least(F.lit(5), F.regexp_count("text", F.lit("\n")) + 1).alias("sections"), F.regexp_like("text", F.lit("https?://|[0-9]{4}")).alias("refs"),
+    )
 
 
-@query("v7_coverage", f"{COVER_SQL} SELECT doc_id, round(covered, 6) AS covered FROM c")
+@query("v7_coverage", f"{COVER_SQL} SELECT conv_id, turn, round(covered, 6) AS covered FROM c")
 def v7(t: Tables) -> DataFrame:
-    return covered(t).select("doc_id", F.round("covered", 6).alias("covered"))
+    return covered(t).select("conv_id", "turn", F.round("covered", 6).alias("covered"))
 
 
-@query("v8_risk", f"{COVER_SQL} SELECT doc_id, round(least(1, 0.3 * (doc_id % 3) + 0.1 * (doc_id % 5) + 0.3 * (1 - covered)), 6) AS risk FROM c")
+@query("v8_risk", f"{COVER_SQL} SELECT conv_id, turn, round(least(1, 0.3 * errors + 0.1 * warnings + 0.3 * (1 - covered)), 6) AS risk FROM c")
 def v8(t: Tables) -> DataFrame:
-    return covered(t).select("doc_id", F.round(V.risk(F.col("doc_id") % 3, F.col("doc_id") % 5, F.col("covered")), 6).alias("risk"))
+    return covered(t).select("conv_id", "turn", F.round(V.risk(F.col("errors"), F.col("warnings"), F.col("covered")), 6).alias("risk"))
 
 
-@query("v9_quality", f"{COVER_SQL} SELECT doc_id, round(doc_id % 6 / 5 * 0.3 + CASE WHEN doc_id % 2 = 0 THEN 0.2 ELSE 0.1 END + 0.5 * CASE WHEN n_chars < 200 THEN 0.3 ELSE least(1, n_chars / 500 * 0.5 + covered * 0.5) END, 6) AS quality FROM c")
+@query("v9_quality", f"{COVER_SQL} SELECT conv_id, turn, round(sections / 5 * 0.3 + CASE WHEN refs THEN 0.2 ELSE 0.1 END + 0.5 * CASE WHEN n < 200 THEN 0.3 ELSE least(1, n / 500 * 0.5 + covered * 0.5) END, 6) AS quality FROM c")
 def v9(t: Tables) -> DataFrame:
-    return covered(t).select("doc_id", F.round(V.quality(F.col("doc_id") % 6, F.col("doc_id") % 2 == 0, F.col("n_chars"), F.col("covered")), 6).alias("quality"))
+    return covered(t).select("conv_id", "turn", F.round(V.quality(F.col("sections"), F.col("refs"), F.col("n"), F.col("covered")), 6).alias("quality"))
 
 
-@query("v10_decision", f"{VERDICTS_SQL}, s AS (SELECT l_orderkey, round(0.4 * confidence + 0.3 * (l_orderkey % 10) / 10 + 0.3 * (l_orderkey % 7) / 7, 9) AS c, is_valid FROM v) SELECT l_orderkey, CASE WHEN is_valid AND c >= 0.7 THEN 'ACCEPT' WHEN c > 0.5 THEN 'REVIEW' ELSE 'REJECT' END AS decision FROM s WHERE abs(c - 0.7) > 0.000001 AND abs(c - 0.5) > 0.000001")
+@query("v10_decision", f"{VERDICTS_SQL}, s AS (SELECT l_orderkey, round(0.4 * confidence + 0.3 * (l_orderkey % 10) / 10 + 0.3 * (l_orderkey % 7) / 7, 9) AS c, is_valid FROM v) SELECT l_orderkey, CASE WHEN is_valid AND c >= 0.7 THEN 'ACCEPT' WHEN c > 0.5 THEN 'REVIEW' ELSE 'REJECT' END AS decision FROM s")
 def v10(t: Tables) -> DataFrame:
-    v = all_verdicts(t)
     safe, good = (F.col("l_orderkey") % 10) / 10, (F.col("l_orderkey") % 7) / 7
-    near = F.round(0.4 * F.col("confidence") + 0.3 * safe + 0.3 * good, 9)  # a score on a border would hang on the last bit
-    return v.where((F.abs(near - 0.7) > 0.000001) & (F.abs(near - 0.5) > 0.000001)).select("l_orderkey", V.decision(F.col("confidence"), safe, good, F.col("is_valid")).alias("decision"))
+    return all_verdicts(t).select("l_orderkey", V.decision(F.col("confidence"), safe, good, F.col("is_valid")).alias("decision"))
 
 
 PHRASES = (("(?i)licensed", "high"), ("reau", "low"), ("ther", "medium"))

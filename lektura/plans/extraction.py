@@ -22,10 +22,10 @@ def x1(t: Tables) -> DataFrame:
 def dialog_lines(t: Tables) -> DataFrame:
     """Conversations as lines: every fifth turn is an empty line."""
     c = t.conversations
-    return c.select("conv_id", "turn", F.when(F.col("turn") % 5 == 4, F.lit("")).otherwise(F.substring("text", 1, 40)).alias("line"), (F.col("role") == "user").alias("q"))
+    return c.select("conv_id", "turn", F.when(F.col("turn") % 5 == 4, F.lit("")).otherwise(F.col("text")).alias("line"), (F.col("role") == "user").alias("q"))
 
 
-@query("x2_dialog_blocks", """WITH l AS (SELECT conv_id, turn, CASE WHEN turn % 5 = 4 THEN '' ELSE substr(text, 1, 40) END AS line, role = 'user' AND turn % 5 <> 4 AS q, turn % 5 = 4 AS e FROM conversations),
+@query("x2_dialog_blocks", """WITH l AS (SELECT conv_id, turn, CASE WHEN turn % 5 = 4 THEN '' ELSE text END AS line, role = 'user' AND turn % 5 <> 4 AS q, turn % 5 = 4 AS e FROM conversations),
     m AS (SELECT *, max(CASE WHEN q THEN turn END) OVER w AS last_q, max(CASE WHEN e THEN turn END) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last_e, sum(CAST(NOT q AND trim(line, ' ') <> '' AS INT)) OVER w AS n FROM l WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING)),
     b AS (SELECT *, coalesce(sum(CAST(e AND last_q IS NOT NULL AND coalesce(last_e, -1) < last_q AS INT)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS block FROM m),
     a AS (SELECT conv_id, block, arg_min(n, turn) AS n, string_agg(line, '|' ORDER BY turn) AS questions FROM b WHERE q GROUP BY 1, 2)

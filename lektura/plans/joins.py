@@ -148,10 +148,11 @@ def j17(t: Tables) -> DataFrame:
     return t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey").join(wanted, "l_partkey", "left_semi")
 
 
-@query("j18_two_sided", """SELECT k, side FROM (SELECT DISTINCT l_partkey AS k, 'left' AS side FROM lineitem WHERE l_returnflag = 'R' AND l_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'A')
-    UNION ALL SELECT DISTINCT l_partkey, 'right' FROM lineitem WHERE l_returnflag = 'A' AND l_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R'))""")
+@query("j18_two_sided", """WITH l AS (SELECT l_partkey || '-' || l_suppkey AS k, l_returnflag FROM lineitem)
+    SELECT DISTINCT k, 'left' AS side FROM l WHERE l_returnflag = 'R' AND k NOT IN (SELECT k FROM l WHERE l_returnflag = 'A')
+    UNION ALL SELECT DISTINCT k, 'right' FROM l WHERE l_returnflag = 'A' AND k NOT IN (SELECT k FROM l WHERE l_returnflag = 'R')""")
 def j18(t: Tables) -> DataFrame:
-    side = lambda f: t.lineitem.where(F.col("l_returnflag") == f).select(F.col("l_partkey").alias("k"))
+    side = lambda f: t.lineitem.where(F.col("l_returnflag") == f).select(F.concat_ws("-", "l_partkey", "l_suppkey").alias("k"))
     return J.two_sided_difference(side("R"), side("A"), "k")
 
 
@@ -233,10 +234,10 @@ def j27(t: Tables) -> DataFrame:
     return f.select("page_id", (copy > 1).alias("duplicate"), F.concat("name", suffix).alias("target"))
 
 
-@query("j28_shared_parts", r"""WITH l AS (SELECT DISTINCT item_id, unnest(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+')) AS part FROM benchmark), r AS (SELECT DISTINCT c_custkey, unnest(regexp_split_to_array(lower(c_mktsegment || ' onen then thin heed tion'), '[^\p{L}\p{N}]+')) AS part FROM customer)
-    SELECT item_id AS lid, c_custkey AS rid, count(*) AS shared FROM l JOIN r ON l.part = r.part WHERE length(l.part) > 3 GROUP BY 1, 2 HAVING count(*) >= 2""")
+@query("j28_shared_parts", r"""WITH l AS (SELECT DISTINCT item_id, unnest(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+')) AS part FROM benchmark), r AS (SELECT DISTINCT conv_id, unnest(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+')) AS part FROM conversations WHERE turn = 0)
+    SELECT item_id AS lid, conv_id AS rid, count(*) AS shared FROM l JOIN r ON l.part = r.part WHERE length(l.part) > 3 GROUP BY 1, 2 HAVING count(*) >= 2""")
 def j28(t: Tables) -> DataFrame:
-    right = t.customer.select(F.col("c_custkey").alias("rid"), F.concat("c_mktsegment", F.lit(" onen then thin heed tion")).alias("rname"))
+    right = t.conversations.where("turn = 0").select(F.col("conv_id").alias("rid"), F.col("text").alias("rname"))
     return J.contained_or_shared(t.benchmark.select(F.col("item_id").alias("lid"), F.col("text").alias("lname")), right)
 
 

@@ -165,7 +165,7 @@ def r5(t: Tables) -> DataFrame:
     shares = hits.withColumn("s", F.col("c") / F.col("n"))
     floor = J.ranked_matches(shares, "qid", [F.desc("s"), F.col("id")], 3).groupBy("qid").agg(F.min("s").alias("floor"))
     share = shares.join(floor, "qid").where(F.col("s") >= F.col("floor") - 0.25)
-    texts = share.join(asked.select("qid", "q"), "qid").join(t.documents.select(F.col("doc_id").alias("id"), F.substring("text", 1, 2000).alias("d")), "id")
+    texts = share.join(asked.select("qid", "q"), "qid").join(t.documents.select(F.col("doc_id").alias("id"), F.col("text").alias("d")), "id")
     scored = texts.withColumn("score", F.round(0.8 * F.col("s") + 0.2 * J.ratio("q", "d"), 6))
     return J.ranked_matches(scored, "qid", [F.desc("score"), F.col("id")], 3).select("qid", "id", "score", "rank")
 
@@ -186,11 +186,11 @@ def s14(t: Tables) -> DataFrame:
     return not_done(t.events.select("event_id"), t.events.where("event_type = 'click'"), "event_id")
 
 
-@query("k17_context_fix", rf"""WITH q AS ({TURN_SQL}), f AS (SELECT *, {FOLLOW_SQL} IS NOT NULL AS f FROM q), c AS (SELECT conv_id, min_by(substr(text, 1, 30), turn) AS c FROM conversations WHERE role <> 'user' GROUP BY 1)
+@query("k17_context_fix", rf"""WITH q AS ({TURN_SQL}), f AS (SELECT *, {FOLLOW_SQL} IS NOT NULL AS f FROM q), c AS (SELECT conv_id, min_by(text, turn) AS c FROM conversations WHERE role <> 'user' GROUP BY 1)
     SELECT f.conv_id, turn, CASE WHEN f THEN 'missing_context' WHEN c IS NULL THEN 'not_found' ELSE 'found' END AS tag, CASE WHEN NOT f AND c IS NOT NULL THEN '[' || c || '] ' || frage ELSE frage END AS frage FROM f LEFT JOIN c ON f.conv_id = c.conv_id""")
 def k17(t: Tables) -> DataFrame:
     reason = followup_reason(F.col("frage"), conjunctions=("and", "et", "und", "y"), pronouns=("this", "das", "esta", "cette"))
-    first = t.conversations.where("role <> 'user'").groupBy("conv_id").agg(F.min_by(F.substring("text", 1, 30), "turn").alias("c"))
+    first = t.conversations.where("role <> 'user'").groupBy("conv_id").agg(F.min_by("text", "turn").alias("c"))
     joined = turns(t).withColumn("f", reason.isNotNull()).join(first, "conv_id", "left")
     tag = F.when(F.col("f"), "missing_context").when(F.col("c").isNull(), "not_found").otherwise("found")
     return joined.select("conv_id", "turn", tag.alias("tag"), F.when(tag == "found", F.concat(F.lit("["), "c", F.lit("] "), "frage")).otherwise(F.col("frage")).alias("frage"))

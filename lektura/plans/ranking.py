@@ -32,9 +32,9 @@ def w3(t: Tables) -> DataFrame:
     return R.newest_versions(t.events.withColumn("ts", F.date_trunc("day", "ts")), ["user_id", "event_type"], "ts", "event_id")
 
 
-@query("w4_newest_by_title", """SELECT doc_id, k FROM (SELECT doc_id, k, row_number() OVER (PARTITION BY k ORDER BY doc_id DESC) AS n FROM (SELECT doc_id, CASE WHEN n_chars < 100 THEN '__no_title__::' || sha1(text) ELSE lower(substr(text, 1, 10)) END AS k FROM documents)) WHERE n = 1""")
+@query("w4_newest_by_title", """SELECT doc_id, k FROM (SELECT doc_id, k, row_number() OVER (PARTITION BY k ORDER BY doc_id DESC) AS n FROM (SELECT doc_id, CASE WHEN n_chars < 100 THEN '__no_title__::' || sha1(text) ELSE lower(split_part(text, chr(10), 1)) END AS k FROM documents)) WHERE n = 1""")
 def w4(t: Tables) -> DataFrame:
-    key = F.when(F.col("n_chars") < 100, F.concat(F.lit("__no_title__::"), F.sha1("text"))).otherwise(F.lower(F.substring("text", 1, 10)))
+    key = F.when(F.col("n_chars") < 100, F.concat(F.lit("__no_title__::"), F.sha1("text"))).otherwise(F.lower(F.split("text", "\n")[0]))
     return J.first_per_key(t.documents.select("doc_id", key.alias("k")), ["k"], F.desc("doc_id"))
 
 
@@ -67,11 +67,11 @@ def w8(t: Tables) -> DataFrame:
 
 
 @query("w10_line_context", r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents),
-    c AS (SELECT doc_id, pos, line, string_agg(substr(line, 1, 15), '|') OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 2 PRECEDING AND 3 FOLLOWING) AS context FROM l) SELECT doc_id, pos, context FROM c WHERE contains(line, 'License')""")
+    c AS (SELECT doc_id, pos, line, string_agg(line, '|') OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 2 PRECEDING AND 3 FOLLOWING) AS context FROM l) SELECT doc_id, pos, context FROM c WHERE contains(line, 'License')""")
 def w10(t: Tables) -> DataFrame:
     lines = t.documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("p", "line"))
     near = Window.partitionBy("doc_id").orderBy("p").rowsBetween(-2, 3)
-    context = F.array_join(F.collect_list(F.substring("line", 1, 15)).over(near), "|")
+    context = F.array_join(F.collect_list("line").over(near), "|")
     return lines.withColumn("context", context).where(F.contains("line", F.lit("License"))).select("doc_id", (F.col("p") + 1).cast("long").alias("pos"), "context")
 
 
@@ -152,10 +152,12 @@ def o5(t: Tables) -> DataFrame:
     return d.unionByName(t.pages.select(F.col("page_id").alias("id"), F.col("html").alias("text"), "url"), allowMissingColumns=True)
 
 
-@query("o6_token_overlap", f"WITH d AS (SELECT doc_id, {WORDS_SQL.format('text')} AS a, {WORDS_SQL.format('substr(text, 1, 200)')} AS b FROM documents) SELECT doc_id, round(len(list_intersect(a, b)) / greatest(len(a), 1), 6) AS share FROM d")
+@query("o6_token_overlap", f"WITH c AS (SELECT conv_id, turn, {WORDS_SQL.format('text')} AS w FROM conversations) SELECT q.conv_id, q.turn, round(len(list_intersect(q.w, a.w)) / greatest(len(q.w), 1), 6) AS share FROM c q JOIN c a ON q.conv_id = a.conv_id AND a.turn = q.turn + 1")
 def o6(t: Tables) -> DataFrame:
-    a, b = X.words(F.col("text")), X.words(F.substring("text", 1, 200))
-    return t.documents.select("doc_id", F.round(F.size(F.array_intersect(a, b)) / F.greatest(F.size(a), F.lit(1)), 6).alias("share"))
+    """How much of a turn's words the next turn takes up."""
+    said = t.conversations.select("conv_id", "turn", X.words(F.col("text")).alias("a"))
+    after = said.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("a").alias("b"))
+    return said.join(after, ["conv_id", "turn"]).select("conv_id", "turn", F.round(F.size(F.array_intersect("a", "b")) / F.greatest(F.size("a"), F.lit(1)), 6).alias("share"))
 
 
 @query("o7_key_difference", "SELECT o_custkey FROM orders WHERE o_orderstatus = 'F' EXCEPT SELECT o_custkey FROM orders WHERE o_orderstatus = 'P'")
@@ -163,6 +165,6 @@ def o7(t: Tables) -> DataFrame:
     return t.orders.where("o_orderstatus = 'F'").select("o_custkey").subtract(t.orders.where("o_orderstatus = 'P'").select("o_custkey"))
 
 
-@query("o8_distinct_triples", "SELECT DISTINCT lower(substr(text, 1, 30)) AS text, source, lang FROM documents")
+@query("o8_distinct_triples", "SELECT DISTINCT lower(text) AS text, source, lang FROM documents")
 def o8(t: Tables) -> DataFrame:
-    return t.documents.select(F.lower(F.substring("text", 1, 30)).alias("text"), "source", "lang").dropDuplicates(["text", "source", "lang"])
+    return t.documents.select(F.lower("text").alias("text"), "source", "lang").dropDuplicates(["text", "source", "lang"])

@@ -23,7 +23,11 @@ FOLD_SQL = """WITH RECURSIVE r AS (SELECT user_id, event_id % 6 AS q, row_number
 
 def shared(t: Tables) -> str:
     """A new folder that driver and executors share."""
-    root = t.spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-stream-")
+    root = t.spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not t.spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        root = tempfile.mkdtemp(prefix="spark-stream-")
     return f"{root}/stream-{uuid.uuid4().hex}"
 
 

@@ -33,10 +33,17 @@ def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).json(path)
 
 
-def read_cards(spark: SparkSession, path: str, width: int = 12) -> DataFrame:
-    """front, back, tags of tab-separated cards: rows of fewer than two columns go, columns after the third are tags."""
-    columns = [f"c{i}" for i in range(width)]
-    rows = spark.read.csv(path, schema=", ".join(f"{c} string" for c in columns), sep="\t", quote='"', multiLine=True, encoding="UTF-8", mode="PERMISSIVE")
+def write_jsonl(rows: DataFrame, path: str) -> None:
+    """One object a line; never over what is there."""
+    rows.write.mode("errorifexists").json(path)
+
+
+def read_cards(spark: SparkSession, path: str) -> DataFrame:
+    """front, back, tags of tab-separated cards: rows of fewer than two columns go, columns after the second are tags.
+    The lines are looked at first for how many columns the widest can have."""
+    width = spark.read.text(path).agg(F.max(F.regexp_count("value", F.lit("\t")))).first()[0]
+    columns = [f"c{i}" for i in range(max(2, (width or 0) + 1))]
+    rows = spark.read.csv(path, schema=", ".join(f"{c} string" for c in columns), sep="\t", quote='"', escape='"', multiLine=True, encoding="UTF-8", mode="PERMISSIVE")
     tags = F.concat_ws(" ", *[F.nullif(F.trim(F.col(c)), F.lit("")) for c in columns[2:]])
     return rows.where("c1 is not null").select(F.col("c0").alias("front"), F.col("c1").alias("back"), tags.alias("tags"))
 
@@ -48,7 +55,17 @@ def card_field(c: Column) -> Column:
 
 def write_cards(cards: DataFrame, path: str, *columns: str) -> None:
     """No header, quotation marks where needed; never over what is there."""
-    cards.select(*[card_field(F.col(c)).alias(c) for c in columns]).write.mode("errorifexists").csv(path, sep="\t", emptyValue="")
+    cards.select(*[card_field(F.col(c)).alias(c) for c in columns]).write.mode("errorifexists").csv(path, sep="\t", escape='"', emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+
+
+def write_inventory(rows: DataFrame, path: str) -> None:
+    """The inventory's columns in their order, with a header."""
+    rows.select("index", "fachgebiet", "source_file", "frage", "issues", "sources").write.mode("errorifexists").csv(path, header=True, escape='"')
+
+
+def read_deck(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Notes and cards of a deck that is kept as two tables."""
+    return spark.read.parquet(f"{path}/notes"), spark.read.parquet(f"{path}/cards")
 
 
 def read_inventory(spark: SparkSession, path: str) -> DataFrame:
@@ -63,7 +80,7 @@ def read_blocks(spark: SparkSession, path: str, least: int = 200) -> DataFrame:
     from lektura.operators.extract import detected_year
 
     files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
-    blocks = files.select("path", F.posexplode(F.split("value", r"\n\s*\n")).alias("pos", "text")).withColumn("text", F.trim("text"))
+    blocks = files.select("path", F.posexplode(F.split("value", r"\n\s*\n")).alias("pos", "text")).withColumn("text", F.btrim("text", F.lit(" \t\r\n")))
     return blocks.where(F.length("text") >= least).withColumn("year", F.coalesce(detected_year(F.col("text")), F.nullif(F.regexp_extract("path", "(20[0-9]{2})", 1), F.lit("")).cast("int")))
 
 
@@ -124,3 +141,10 @@ def guard_loss(before: int, after: int, fail: float = 0.9, warn: float = 0.5) ->
     if share > fail:
         raise Lost(f"{share:.0%} of {before} rows were dropped")
     return "warn" if share > warn else "ok"
+
+
+def losses(rows: DataFrame, kept: Column, key: str, fail: float = 0.9, warn: float = 0.5) -> DataFrame:
+    """key, before, after, level: ``guard_loss`` for a filter's groups, without an error: ``fail``, ``warn`` or ``ok``."""
+    counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("before"), F.count(F.when(kept, 1)).alias("after"))
+    share = 1 - F.col("after") / F.col("before")
+    return counts.withColumn("level", F.when(share > fail, "fail").when(share > warn, "warn").otherwise("ok"))

@@ -177,3 +177,43 @@ def test_readers(spark, tmp_path):
     assert readers.guard_loss(10, 9) == "ok" and readers.guard_loss(10, 3) == "warn"
     with pytest.raises(readers.Lost):
         readers.guard_loss(100, 5)
+
+
+def test_categories(spark):
+    from lektura.operators import classify
+
+    rules = classify.Rules(
+        exclusive=(("totenschein ausstellen", "forensic"),),
+        keywords=(("cardio", "ekg", 2.0), ("cardio", "herz", 1.0), ("surgery", "operation", 3.0), ("law", "arzthaftung", 2.5)),
+        codes=(("I", "cardio"), ("ST", "surgery")),
+        other_codes="general",
+        groups=((("betablocker", "nitrat"), "cardio", 1.5), (("propofol",), "anaesthesia", 1.5)),
+        against=(("surgery", ("chronisch", "ambulant")),),
+        default="general",
+    )
+    cases = {
+        "Wie soll man einen Totenschein ausstellen? EKG Operation": ("forensic", 10.0, 1.0, "phrase"),
+        "EKG beim Herzinfarkt": ("cardio", 2.0, 1.0, "score"),  # herz has four letters and is no whole word here
+        "Das EKG, das Herz": ("cardio", 3.0, 1.0, "score"),
+        "Operation bei S72.0": ("surgery", 5.0, 1.0, "score"),
+        "Chronisch: Operation bei S72.0 und EKG": ("surgery", 2.5, 0.325, "score"),
+        "Diagnose J18.9": ("general", 2.0, 1.0, "score"),
+        "Propofol und Nitrat": ("cardio", 1.5, 1.0, "score"),  # the first group counts
+        "": ("general", 0.0, 0.0, "none"),
+        None: ("general", 0.0, 0.0, "none"),
+    }
+    rows = spark.createDataFrame([(t, "x_Forensik.pdf" if t == "" else None) for t in cases], "text string, source string")
+    found = {r["text"]: (r["category"], r["score"], r["confidence"], r["method"]) for r in classify.categorised(rows, F.col("text"), rules).collect()}
+    assert found == cases
+    named = classify.categorised(rows, F.col("text"), rules, F.col("source"), (("forensik", "forensic"),)).where("source is not null").first()
+    assert (named["category"], named["method"]) == ("forensic", "source")
+
+
+def test_deep_trees_and_wide_cards(spark, tmp_path):
+    from lektura.operators import extract
+
+    nodes = spark.createDataFrame([(i, i - 1 if i else None, f"n{i}", 0) for i in range(40)] + [(90, 91, "loop", 0), (91, 90, "loop", 0)], "id long, parent long, name string, nth int")
+    paths = extract.tree_paths(nodes).collect()
+    assert len(paths) == 40 and max(r["depth"] for r in paths) == 39
+    Path(tmp_path, "wide.tsv").write_text("a\tb" + "".join(f"\tt{i}" for i in range(30)) + "\n")
+    assert readers.read_cards(spark, f"file://{tmp_path}/wide.tsv").first()["tags"].split() == [f"t{i}" for i in range(30)]
