@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lektura.functions.text import filled
+from lektura.session import cut
 
 
 def questions(rows: DataFrame, text: Column, separator: str, starters: Sequence[str], least: int = 8) -> DataFrame:
@@ -120,17 +121,13 @@ def facts(rows: DataFrame, key: str, text: Column, rules: Sequence[tuple[str, st
 
 def tree_paths(nodes: DataFrame) -> DataFrame:
     """id, depth, path (names joined by `` > ``), place: nodes (id, parent, name, nth) under their roots, which have
-    no parent; a node that is its own ancestor is not followed again. One join a level, until a level is empty; a level
-    is kept while the next is made, so that none is made twice."""
-    level = nodes.where("parent is null").select("id", F.lit(0).alias("depth"), F.array("name").alias("names"), F.array("nth").alias("place"), F.array("id").alias("seen"))
-    children, levels = nodes.select(F.col("id").alias("_c"), F.col("parent").alias("id"), "name", "nth"), []
-    while True:
-        level = level.persist()
-        if level.isEmpty():
-            break
-        levels.append(level)
-        level = level.join(children, "id").where(~F.array_contains("seen", F.col("_c"))).select(F.col("_c").alias("id"), F.lit(len(levels)).alias("depth"), F.array_append("names", F.col("name")).alias("names"), F.array_append("place", F.col("nth")).alias("place"), F.array_append("seen", F.col("_c")).alias("seen"))
+    no parent; a node that is its own ancestor is not followed again. One join a level, until a level is empty; each
+    level's lineage is cut, so that no level is made twice."""
+    children, depth = cut(nodes.select(F.col("id").alias("_c"), F.col("parent").alias("id"), "name", "nth")), 0
+    level = cut(nodes.where("parent is null").select("id", F.lit(0).alias("depth"), F.array("name").alias("names"), F.array("nth").alias("place"), F.array("id").alias("seen")))
     found = level
-    for each in levels:
-        found = found.union(each)
+    while not level.isEmpty():
+        depth += 1
+        level = cut(level.join(children, "id").where(~F.array_contains("seen", F.col("_c"))).select(F.col("_c").alias("id"), F.lit(depth).alias("depth"), F.array_append("names", F.col("name")).alias("names"), F.array_append("place", F.col("nth")).alias("place"), F.array_append("seen", F.col("_c")).alias("seen")))
+        found = found.union(level)
     return found.select("id", "depth", F.array_join("names", " > ").alias("path"), "place")

@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from lektura.functions.text import words
 from lektura.operators.ranking import budget_prefix
 
 QUERIES_TO_BROADCAST = 100_000
+QUERY_BLOCK, KB_BLOCK = 1024, 8192
 
 
 def shared_words(queries: DataFrame, docs: DataFrame, least: int = 2, k: int = 5, stop: Sequence[str] = ()) -> DataFrame:
@@ -39,22 +43,46 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
-def cosine_top_k(queries: DataFrame, kb: DataFrame, k: int = 10, least: float | None = None, boost: float = 1.1, default_least: float = 0.3) -> DataFrame:
+def cosine_top_k(queries: DataFrame, kb: DataFrame, k: int = 10, least: float | None = None, boost: float = 1.1, default_least: float = 0.3, few: int = 5_000) -> DataFrame:
     """qid, id, score, rank: the k nearest of ``kb`` (id, embedding, tier) to each query (qid, embedding) by cosine.
 
     Tier 1 is raised by ``boost`` before the threshold; scores are capped at 1 after ranking. ``least`` None is the
-    default, 0 is 0. Vectors of other lengths than the query's take no part. Unit vectors are made once a side; the
-    queries are broadcast while they are few, so the knowledge base is scanned once and never shuffled.
+    default, 0 is 0. Vectors of other lengths than the query's take no part. Unit vectors are made once a side; up to
+    ``few`` queries are broadcast, so the knowledge base is scanned once and never shuffled. More are compared in blocks:
+    a task multiplies one block of queries with one of the knowledge base and passes on the k nearest of each query.
     """
     least = default_least if least is None else least
     asked = queries.select("qid", unit(F.col("embedding")).alias("q"))
-    side = F.broadcast(asked) if asked.limit(5_001).count() <= 5_000 else asked
     held = kb.select("id", "tier", unit(F.col("embedding")).alias("v")).where("v is not null")
-    raw = held.join(side, F.size("v") == F.size("q")).withColumn("raw", dot(F.col("v"), F.col("q")) * F.when(F.col("tier") == 1, boost).otherwise(1.0))
+    if asked.limit(few + 1).count() <= few:
+        raw = held.join(F.broadcast(asked), F.size("v") == F.size("q")).withColumn("raw", dot(F.col("v"), F.col("q")) * F.when(F.col("tier") == 1, boost).otherwise(1.0))
+    else:
+        raw = _by_blocks(asked.where("q is not null"), held, k, boost)
     rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc(F.round("raw", 9)), "id"))
     return raw.where(F.col("raw") >= least).withColumn("rank", rank).where(F.col("rank") <= k).select("qid", "id", "tier", F.round(F.least(F.col("raw"), F.lit(1.0)), 6).alias("score"), "rank")
 
 
+def _by_blocks(asked: DataFrame, held: DataFrame, k: int, boost: float) -> DataFrame:
+    """qid, id, tier, raw: of each pair of blocks the k nearest of each query."""
+    nq, nv = (max(1, -(-rows.count() // size)) for rows, size in ((asked, QUERY_BLOCK), (held, KB_BLOCK)))
+    number = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = asked.select("qid", "q", F.size("q").alias("dim"), number("qid", nq).alias("qb"), every(nv).alias("vb"))
+    right = held.select("id", "tier", "v", F.size("v").alias("dim"), number("id", nv).alias("vb"), every(nq).alias("qb"))
+    schema = StructType([asked.schema["qid"], held.schema["id"], held.schema["tier"], StructField("raw", DoubleType())])
+
+    def nearest(queries: pd.DataFrame, vectors: pd.DataFrame) -> pd.DataFrame:
+        if queries.empty or vectors.empty:
+            return pd.DataFrame(columns=schema.names)
+        score = np.stack(queries["q"].to_numpy()) @ np.stack(vectors["v"].to_numpy()).T * np.where(vectors["tier"] == 1, boost, 1.0)
+        ids = vectors["id"].to_numpy()
+        order = np.lexsort((np.broadcast_to(ids, score.shape), -np.round(score, 9)), axis=-1)[:, :k]
+        return pd.DataFrame({"qid": np.repeat(queries["qid"].to_numpy(), order.shape[1]), "id": ids[order.ravel()], "tier": vectors["tier"].to_numpy()[order.ravel()], "raw": np.take_along_axis(score, order, axis=1).ravel()})
+
+    by = ("dim", "qb", "vb")
+    return left.groupBy(*by).cogroup(right.groupBy(*by)).applyInPandas(nearest, schema)
+
+
 def context(hits: DataFrame, texts: DataFrame, strong: float = 0.5, few: int = 3, budget: int = 3000) -> DataFrame:
     """Hits (qid, id, tier, score) that make a query's context: tier 1 from ``strong``; tier 2 only where fewer than
     ``few`` of those are; then texts (id, length) in order while they stay within the budget."""

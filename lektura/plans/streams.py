@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame
@@ -10,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lektura.functions import text as X
 from lektura.plans.registry import query
-from lektura.session import Tables
+from lektura.session import Tables, shared_dir
 from lektura.streaming import reviews as S
 
 FOLD_SQL = """WITH RECURSIVE r AS (SELECT user_id, event_id % 6 AS q, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
@@ -23,12 +22,7 @@ FOLD_SQL = """WITH RECURSIVE r AS (SELECT user_id, event_id % 6 AS q, row_number
 
 def shared(t: Tables) -> str:
     """A new folder that driver and executors share."""
-    root = t.spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not t.spark.sparkContext.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        root = tempfile.mkdtemp(prefix="spark-stream-")
-    return f"{root}/stream-{uuid.uuid4().hex}"
+    return f"{shared_dir(t.spark)}/stream-{uuid.uuid4().hex}"
 
 
 def stream(t: Tables, name: str) -> DataFrame:

@@ -212,8 +212,20 @@ def test_categories(spark):
 def test_deep_trees_and_wide_cards(spark, tmp_path):
     from lektura.operators import extract
 
-    nodes = spark.createDataFrame([(i, i - 1 if i else None, f"n{i}", 0) for i in range(40)] + [(90, 91, "loop", 0), (91, 90, "loop", 0)], "id long, parent long, name string, nth int")
+    nodes = spark.createDataFrame([(i, i - 1 if i else None, f"n{i}", 0) for i in range(33)] + [(90, 91, "loop", 0), (91, 90, "loop", 0)], "id long, parent long, name string, nth int")
     paths = extract.tree_paths(nodes).collect()
-    assert len(paths) == 40 and max(r["depth"] for r in paths) == 39
+    assert len(paths) == 33 and max(r["depth"] for r in paths) == 32
     Path(tmp_path, "wide.tsv").write_text("a\tb" + "".join(f"\tt{i}" for i in range(30)) + "\n")
     assert readers.read_cards(spark, f"file://{tmp_path}/wide.tsv").first()["tags"].split() == [f"t{i}" for i in range(30)]
+
+
+def test_cosine_by_blocks(spark, monkeypatch):
+    from lektura.operators import retrieval
+
+    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 7)
+    monkeypatch.setattr(retrieval, "KB_BLOCK", 30)
+    e = spark.read.parquet(f"{DATA}/embeddings.parquet")
+    kb = e.select(F.col("vec_id").alias("id"), "embedding", F.when(F.col("label") < 3, 1).otherwise(2).alias("tier"))
+    asked = e.where("vec_id % 10 = 0").select(F.col("vec_id").alias("qid"), "embedding").union(spark.createDataFrame([(-1, [0.0, 0.0]), (-2, None)], "qid long, embedding array<float>"))
+    rows = lambda few: sorted(map(tuple, retrieval.cosine_top_k(asked, kb, k=4, few=few).collect()))
+    assert rows(0) == rows(5_000) != []
