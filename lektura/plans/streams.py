@@ -36,12 +36,12 @@ def t2(t: Tables) -> DataFrame:
     return S.folded_reviews(rows, "card", ["ts", "event_id"], "q")
 
 
-@query("t2_review_stream")  # batches of several files may hold a card's reviews out of order; tests compare with the fold
+@query("t2_review_stream", FOLD_SQL)
 def t2_stream(t: Tables) -> DataFrame:
-    path = shared(t)
-    rows = stream(t, "events").select(F.col("user_id").alias("card"), "ts", F.col("event_id").alias("pos"), (F.col("event_id") % 6).cast("int").alias("q"))
-    S.run_to_end(S.review_states(rows), path, mode="update")
-    return S.latest(S.written(t.spark, path), "card", F.col("batch"), "ef", "interval", "reps", "reviews")
+    path, columns = shared(t), [F.col("user_id").alias("card"), "ts", F.col("event_id").alias("pos"), (F.col("event_id") % 6).cast("int").alias("q")]
+    S.run_to_end(S.review_states(stream(t, "events").select(*columns)), path, mode="update")
+    states = S.latest(S.written(t.spark, path), "card", F.col("batch"), "ef", "interval", "reps", "reviews", "late")
+    return S.settled(states, t.events.select(*columns), ["ts", "pos"])
 
 
 @query("t3_review_sessions", """WITH g AS (SELECT user_id, ts, event_id, CASE WHEN ts - lag(ts) OVER w < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS s FROM g)

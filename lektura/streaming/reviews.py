@@ -43,18 +43,29 @@ def python_step(ef: float, interval: int, reps: int, q: int) -> tuple[float, int
 
 
 def review_states(stream: DataFrame) -> DataFrame:
-    """A stream of (card long, ts, pos long, q int) as one of (card, ef, interval, reps, reviews): the states of the
-    cards that a batch touched. Reviews of a batch are sorted; a later batch's reviews are taken as later ones."""
+    """A stream of (card long, ts, pos long, q int) as one of (card, ef, interval, reps, reviews, late): the states of
+    the cards that a batch touched. Reviews of a batch are sorted. A review that is older than one already folded sets
+    ``late`` for good: the state is then one of another order, and ``settled`` folds the card's log anew."""
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        ef, interval, reps, n = state.get if state.exists else (2.5, 1, 0, 0)
-        for q in pd.concat(batches).sort_values(["ts", "pos"])["q"]:
+        ef, interval, reps, n, at, place, late = state.get if state.exists else (2.5, 1, 0, 0, -(1 << 62), 0, False)
+        for ts, pos, q in pd.concat(batches).sort_values(["ts", "pos"])[["ts", "pos", "q"]].itertuples(index=False):
+            late = late or (ts.value, pos) < (at, place)
+            at, place = max((at, place), (ts.value, int(pos)))
             ef, interval, reps = python_step(ef, interval, reps, int(q))
             n += 1
-        state.update((ef, interval, reps, n))
-        yield pd.DataFrame({"card": [key[0]], "ef": [round(ef, 6)], "interval": [interval], "reps": [reps], "reviews": [n]})
+        state.update((ef, interval, reps, n, at, place, late))
+        yield pd.DataFrame({"card": [key[0]], "ef": [round(ef, 6)], "interval": [interval], "reps": [reps], "reviews": [n], "late": [late]})
 
-    return stream.groupBy("card").applyInPandasWithState(update, "card long, ef double, interval long, reps int, reviews long", "ef double, interval long, reps int, reviews long", "update", "NoTimeout")
+    kept = "ef double, interval long, reps int, reviews long, at long, place long, late boolean"
+    return stream.groupBy("card").applyInPandasWithState(update, "card long, ef double, interval long, reps int, reviews long, late boolean", kept, "update", "NoTimeout")
+
+
+def settled(states: DataFrame, reviews: DataFrame, order: list[str]) -> DataFrame:
+    """card, ef, interval, reps, reviews: the newest states of a stream, those with late reviews folded from the log."""
+    late = states.where("late").select("card")
+    again = folded_reviews(reviews.join(late, "card", "left_semi"), "card", order, "q")
+    return states.where("not late").drop("late").unionByName(again)
 
 
 def run_to_end(stream: DataFrame, path: str, each: Callable[[DataFrame], DataFrame] | None = None, mode: str = "append") -> None:

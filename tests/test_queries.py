@@ -229,3 +229,16 @@ def test_cosine_by_blocks(spark, monkeypatch):
     asked = e.where("vec_id % 10 = 0").select(F.col("vec_id").alias("qid"), "embedding").union(spark.createDataFrame([(-1, [0.0, 0.0]), (-2, None)], "qid long, embedding array<float>"))
     rows = lambda few: sorted(map(tuple, retrieval.cosine_top_k(asked, kb, k=4, few=few).collect()))
     assert rows(0) == rows(5_000) != []
+
+
+def test_review_stream_of_files_out_of_order(spark, tmp_path):
+    """Files that come in another order than their reviews were made leave the same states as the fold."""
+    events = spark.read.parquet(f"{DATA}/events.parquet")
+    place = f"file://{tmp_path}/events.parquet"
+    for k in (2, 0, 3, 1):  # by time, but written out of order; more files than one batch takes
+        for half in (1, 0):
+            events.where((F.col("event_id") * 4 / events.count()).cast("int") == k).where(f"event_id % 2 = {half}").coalesce(1).write.mode("append").parquet(place)
+    got = plans.QUERIES["t2_review_stream"](spark, f"file://{tmp_path}")
+    want = plans.QUERIES["t2_review_fold"](spark, f"file://{tmp_path}")
+    rows = lambda df: sorted(map(tuple, df.select("card", "ef", "interval", "reps", "reviews").collect()))
+    assert rows(got) == rows(want)
