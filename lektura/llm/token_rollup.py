@@ -42,10 +42,12 @@ class TokenRollup:
         An insert adds a document, even if one of its id exists; a delete takes away all that the ledger holds under
         the id and version, and nothing if there is none; a revision is a delete and an insert. Within a batch deletes
         come before inserts. Null source, language and version are values of their own; null tokens count 0; rows of a
-        null id can be inserted only.
+        null id can be inserted only. Any other op is an error. Other columns are ignored; no rows are a batch too.
         """
         if batch in self.commits():
             return False
+        if not changes.where("op is null or op not in ('insert', 'delete', 'revise')").select("op").isEmpty():
+            raise ValueError("op must be insert, delete or revise")
         rows = changes.select("op", F.col("doc_id").cast("string").alias("doc_id"), *KEY, F.coalesce("tokens", F.lit(0)).cast("long").alias("tokens"))
         added = rows.where("op in ('insert', 'revise')").select("doc_id", *KEY, F.lit(1).cast("long").alias("docs"), "tokens")
         undone = rows.where("op in ('delete', 'revise')").select("doc_id", F.col("version").alias("v")).distinct().withColumnRenamed("doc_id", "d")
@@ -84,7 +86,11 @@ def with_token_counts(docs: DataFrame, text: Column, tokenizer: str | None = Non
 
 def documents_rollup(docs: DataFrame, path: str) -> DataFrame:
     """Totals of ``docs`` after three batches: all documents come in; documents whose text another of a smaller id has
-    go, and texts with runs of white space are counted again with single spaces; then that batch is sent once more."""
+    go, and texts with runs of white space are counted again with single spaces; then that batch is sent once more.
+
+    A null text has no tokens; rows that repeat an id are documents of their own that come and go together; a null id
+    stays; texts are read whole; an empty table gives an empty result; columns other than doc_id, text, source and lang
+    are ignored."""
     spark = docs.sparkSession
     rollup = TokenRollup(spark, path)
     rollup.commit("load", with_token_counts(docs, F.col("text")).withColumn("op", F.lit("insert")))

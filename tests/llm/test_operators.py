@@ -394,6 +394,33 @@ def test_rollup(spark, tmp_path):
     assert totals() == {k: v for k, v in want.items() if k[0] != "t"}
 
 
+def test_rollup_refuses_unknown_changes(spark, tmp_path):
+    rollup = TokenRollup(spark, f"file://{tmp_path}/rollup")
+    rows = spark.createDataFrame([("upsert", 1, "s", "en", "v1", 1)], "op string, doc_id long, source string, lang string, version string, tokens long")
+    with pytest.raises(ValueError, match="op"):
+        rollup.commit("a", rows)
+    assert rollup.totals().count() == 0
+
+
+def test_documents_rollup_against_brute_force(spark, tmp_path):
+    from lektura.llm.token_rollup import documents_rollup
+
+    rows = [(1, "a  b c", "s", "en"), (2, "a  b c", "s", "en"), (3, None, None, "de"), (4, "", "s", None), (5, LONG, "t", "en"), (6, "one two", "t", "de"), (7, None, "t", "de")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").withColumn("tokens", F.lit("clash")).withColumn("version", F.lit("clash"))
+    want, seen = defaultdict(lambda: [0, 0]), set()
+    for _, text, source, lang in rows:
+        if (text or "") in seen:
+            continue
+        seen.add(text or "")
+        text = None if text is None else " ".join(text.split())
+        for version, n in (("words", len((text or "").split())), ("byte_bpe_50k", len(tokens.byte_bpe().encode(text)) if text else 0)):
+            want[source, lang, version][0] += 1
+            want[source, lang, version][1] += n
+    got = {(r["source"], r["lang"], r["version"]): [r["docs"], r["tokens"]] for r in documents_rollup(docs, f"file://{tmp_path}/a").collect()}
+    assert got == dict(want)
+    assert documents_rollup(docs.limit(0), f"file://{tmp_path}/b").count() == 0
+
+
 def test_nearest(spark):
     rng = np.random.default_rng(10)
     vectors = rng.normal(size=(900, 16))
