@@ -100,6 +100,16 @@ def s9(t: Tables) -> DataFrame:
     return R.read_markdown_cards(t.spark, files(rows, F.col("doc_id"), body, shared(t), "\n")).select("number", "question", "answer")
 
 
+@query("s10_note_graph", "SELECT 'kb' || o_custkey AS base, CAST(o_custkey % 4 AS BIGINT) AS version, '2024-05-06' AS exported, CAST(o_orderkey AS VARCHAR) AS id, CAST(o_custkey AS VARCHAR) AS parent, o_orderpriority || o_orderstatus AS text FROM orders")
+def s10(t: Tables) -> DataFrame:
+    """Each customer's orders as the notes of one export; a key has plain parts and references."""
+    key = F.array(F.col("o_orderpriority"), F.to_json(F.struct(F.col("o_orderkey").alias("q"))), F.col("o_orderstatus"))
+    note = F.struct(F.col("o_orderkey").cast("string").alias("_id"), F.col("o_custkey").cast("string").alias("parent"), key.alias("key"))
+    exports = t.orders.groupBy("o_custkey").agg(F.collect_list(note).alias("docs"))
+    value = F.struct("docs", F.lit("2024-05-06T07:08:09Z").alias("exportDate"), (F.col("o_custkey") % 4).alias("exportVersion"), F.concat(F.lit("kb"), "o_custkey").alias("knowledgebaseId"))
+    return R.read_note_graph(t.spark, files(exports, F.col("o_custkey"), value, shared(t)))
+
+
 @query("s11_deck_tables", "SELECT c_custkey AS note, count(o_orderkey) AS cards, max(o_orderpriority) AS last FROM customer JOIN orders ON c_custkey = o_custkey WHERE c_mktsegment <> 'BUILDING' GROUP BY 1")
 def s11(t: Tables) -> DataFrame:
     """Notes and cards as tables of a deck; suspended notes go with their cards."""
@@ -117,6 +127,17 @@ def s12(t: Tables) -> DataFrame:
     return R.file_inventory(t.spark, path).where("suffix = '.txt'").select("suffix", "size", "md5").distinct()
 
 
+@query("s13_newest_snapshot", "SELECT DISTINCT p_type, p_brand FROM part")
+def s13(t: Tables) -> DataFrame:
+    """Two snapshots of one folder, of which the later one is read."""
+    path = shared(t)
+    rows = t.part.select("p_type", "p_brand").distinct().coalesce(1)
+    rows.where("p_type < 'M'").write.parquet(f"{path}/snapshot_1")
+    rows.write.parquet(f"{path}/snapshot_2")
+    newest = R.newest_file(R.file_inventory(t.spark, path).where(F.col("path").contains("/snapshot_")), r"\.parquet$").first()
+    return t.spark.read.parquet(newest["path"])
+
+
 @query("s15_version", "SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY 1")
 def s15(t: Tables) -> DataFrame:
     return t.spark.read.parquet(R.write_version(t.orders, shared(t), "1")).groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"))

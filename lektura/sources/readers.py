@@ -63,6 +63,22 @@ def write_inventory(rows: DataFrame, path: str) -> None:
     rows.select("index", "fachgebiet", "source_file", "frage", "issues", "sources").write.mode("errorifexists").csv(path, header=True, escape='"')
 
 
+def read_note_graph(spark: SparkSession, path: str) -> DataFrame:
+    """base, version, exported, id, parent, text: the notes (``docs``) of unpacked exports with the export's own data;
+    the text is the plain parts of a note's key. An export without notes has no rows."""
+    note = "struct<_id: string, parent: string, key: array<string>>"
+    raw = spark.read.schema(f"docs array<{note}>, exportDate string, exportVersion long, knowledgebaseId string").json(path, multiLine=True)
+    rows = raw.select(F.coalesce("knowledgebaseId", F.lit("")).alias("base"), F.col("exportVersion").alias("version"), F.substring("exportDate", 1, 10).alias("exported"), F.explode("docs").alias("d"))
+    plain = F.filter(F.coalesce("d.key", F.array().cast("array<string>")), lambda x: ~F.startswith(x, F.lit("{")))
+    return rows.select("base", "version", "exported", F.col("d._id").alias("id"), F.col("d.parent").alias("parent"), F.array_join(plain, "").alias("text"))
+
+
+def read_weights(spark: SparkSession, path: str) -> DataFrame:
+    """category, keyword, weight from a JSON object of categories, each an object of keywords and their weights."""
+    raw = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "map<string, map<string, double>>")).alias("category", "own"))
+    return raw.select("category", F.explode("own").alias("keyword", "weight"))
+
+
 def read_deck(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Notes and cards of a deck that is kept as two tables."""
     return spark.read.parquet(f"{path}/notes"), spark.read.parquet(f"{path}/cards")

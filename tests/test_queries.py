@@ -242,3 +242,13 @@ def test_review_stream_of_files_out_of_order(spark, tmp_path):
     want = plans.QUERIES["t2_review_fold"](spark, f"file://{tmp_path}")
     rows = lambda df: sorted(map(tuple, df.select("card", "ef", "interval", "reps", "reviews").collect()))
     assert rows(got) == rows(want)
+
+
+def test_weights_of_a_file(spark, tmp_path):
+    Path(tmp_path, "weights.json").write_text(json.dumps({"cardio": {"ekg": 2.5, "herz": 1}, "none": {}}))
+    weights = readers.read_weights(spark, f"file://{tmp_path}/weights.json")
+    assert sorted(map(tuple, weights.collect())) == [("cardio", "ekg", 2.5), ("cardio", "herz", 1.0)]
+    from lektura.functions.rules import weighted_scores
+
+    rows = spark.createDataFrame([(1, ["ekg", "herz", "ekg"])], "id long, w array<string>")
+    assert [(r["category"], r["score"]) for r in weighted_scores(rows, "id", F.col("w"), weights).collect()] == [("cardio", 3.5)]
