@@ -57,7 +57,7 @@ def chunks(rows: DataFrame, text: Column, size: int = 500, overlap: int = 100) -
             F.when(fits, joined).when(alone, F.lit("")).otherwise(paragraph).alias("open"),
         )
 
-    paragraphs = F.filter(F.transform(F.split(filled(text), "\n\n+"), F.trim), lambda p: p != "")
+    paragraphs = F.filter(F.transform(F.split(filled(text), "\n\n+"), lambda p: F.trim(p)), lambda p: p != "")
     start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"))
     folded = F.aggregate(paragraphs, start, packed, lambda s: F.when(s["open"] == "", s["done"]).otherwise(F.array_append(s["done"], s["open"])))
     whole = F.when(F.length(filled(text)) < size, F.array(filled(text))).otherwise(folded)
@@ -131,3 +131,40 @@ def tree_paths(nodes: DataFrame) -> DataFrame:
         level = cut(level.join(children, "id").where(~F.array_contains("seen", F.col("_c"))).select(F.col("_c").alias("id"), F.lit(depth).alias("depth"), F.array_append("names", F.col("name")).alias("names"), F.array_append("place", F.col("nth")).alias("place"), F.array_append("seen", F.col("_c")).alias("seen")))
         found = found.union(level)
     return found.select("id", "depth", F.array_join("names", " > ").alias("path"), "place")
+
+
+#: What begins an answer, and how listed answers are marked.
+ANSWER = r"(?is)\n\s*(?:erwartete antwort|antwort|therapie|lösung|diagnose)\s*[:\s-]+(.+)"
+NUMBERED = r"^\s*(?:[0-9]+|[a-z]|[IVX]+)[).:]\s*"
+BULLET = r"^\s*[-•*►▪]\s+"
+MOST_ANSWERS = 10
+
+
+def exam_answer(text: Column) -> Column:
+    """The text after the word that begins an answer, else the second paragraph; empty without either."""
+    paragraphs = F.filter(F.transform(F.split(filled(text), "\n\n"), lambda p: F.trim(p)), lambda p: p != "")
+    named = F.btrim(F.regexp_extract(filled(text), ANSWER, 1), F.lit(" \n"))
+    return F.when(named != "", named).otherwise(F.coalesce(F.get(paragraphs, F.lit(1)), F.lit("")))
+
+
+def exam_items(answer: Column) -> Column:
+    """The answers of an answer text: its numbered lines if there are two, else its marked lines if there are two, else
+    what stands between semicolons. Short ones and bare numbers go; equal ones count once, whatever their case; ten at most."""
+    lines = F.split(answer, "\n")
+
+    def marked(pattern: str) -> Column:
+        return F.transform(F.filter(lines, lambda x: F.regexp_like(x, F.lit(pattern + r"\S"))), lambda x: F.trim(F.regexp_replace(x, pattern, "")))
+
+    numbered, bullets = marked(NUMBERED), marked(BULLET)
+    items = F.when(F.size(numbered) >= 2, numbered).when(F.size(bullets) >= 2, bullets).otherwise(F.transform(F.split(answer, r";\s+"), lambda p: F.trim(p)))
+    items = F.filter(items, lambda x: (F.length(x) > 3) & ~F.regexp_like(x, F.lit(r"^\d+$")))
+    first = F.filter(items, lambda x, i: F.array_position(F.transform(items, F.lower), F.lower(x)) == i + 1)
+    return F.slice(first, 1, MOST_ANSWERS)
+
+
+def exam_score(question: Column, items: Column, has_data: Column, has_kind: Column) -> Column:
+    """How complete an exam question is, of 1: a question, answers, three of them, long ones, data, a kind, a fit length."""
+    mean = F.aggregate(items, F.lit(0), lambda s, x: s + F.length(x)) / F.greatest(F.size(items), F.lit(1))
+    points = F.when(F.length(question) > 10, 1.0).otherwise(0.0) + F.when(F.size(items) > 0, 1.0).otherwise(0.0) + F.when(F.size(items) >= 3, 0.5).otherwise(0.0)
+    points = points + F.when((F.size(items) > 0) & (mean > 20), 0.5).otherwise(0.0) + F.when(has_data, 0.5).otherwise(0.0) + F.when(has_kind, 0.5).otherwise(0.0)
+    return (points + F.when((F.length(question) > 50) & (F.length(question) < 1000), 1.0).otherwise(0.0)) / 5

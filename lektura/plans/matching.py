@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lektura.functions import text as X
 from lektura.functions.rules import any_match, first_match
+from lektura.operators import extract as E
 from lektura.operators import joins as J
 from lektura.operators import validate as V
 from lektura.operators.filters import followup_reason
@@ -170,13 +171,28 @@ def r5(t: Tables) -> DataFrame:
     return J.ranked_matches(scored, "qid", [F.desc("score"), F.col("id")], 3).select("qid", "id", "score", "rank")
 
 
-@query("x7_exam_parse", r"""WITH c AS (SELECT doc_id, split_part(text, chr(10), 1) AS question, len(string_split(text, chr(10))) - 1 AS answers, lang, n_chars FROM documents)
-    SELECT doc_id, question, CAST(answers AS INT) AS answers, round(CASE WHEN length(question) >= 10 THEN 0.4 ELSE 0 END + 0.3 * least(1, answers / 3) + CASE WHEN lang IS NOT NULL THEN 0.3 ELSE 0 END, 6) AS score FROM c""")
+#: Exam texts from documents: a question, and sentences as an answer that is numbered, marked, parted or plain.
+EXAM_SQL = r"""p AS (SELECT doc_id, lang, list_transform(string_split(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D;]+', ' ', 'g'), '. '), lambda x: trim(x, ' ')) AS s FROM documents),
+    e AS (SELECT doc_id, lang, s[1] || CASE WHEN doc_id % 3 = 0 THEN ' (2023)?' ELSE '?' END AS question, coalesce(s[2], '') AS a, coalesce(s[3], '') AS b, coalesce(s[4], '') AS c FROM p),
+    x AS (SELECT doc_id, question, CASE doc_id % 4 WHEN 0 THEN '1) ' || a || chr(10) || '2. ' || b || chr(10) || 'c) ' || c WHEN 1 THEN '• ' || a || chr(10) || '* ' || b WHEN 2 THEN a || '; ' || b || '; ' || a ELSE a END AS answer FROM e)"""
+
+
+@query("x7_exam_parse", rf"""WITH {EXAM_SQL}, l AS (SELECT doc_id, question, coalesce(nullif(trim(regexp_replace(answer, '^[:\s-]+', ''), ' ' || chr(10)), ''), 'Erwartete Antwort:') AS answer FROM x), m AS (SELECT *, string_split(answer, chr(10)) AS ls FROM l),
+    n AS (SELECT *, list_filter(ls, lambda z: regexp_matches(z, '^\s*(?:[0-9]+|[a-z]|[IVX]+)[).:]\s*\S')) AS nu, list_filter(ls, lambda z: regexp_matches(z, '^\s*[-•*►▪]\s+\S')) AS bu FROM m),
+    i AS (SELECT doc_id, question, CASE WHEN len(nu) >= 2 THEN list_transform(nu, lambda z: trim(regexp_replace(z, '^\s*(?:[0-9]+|[a-z]|[IVX]+)[).:]\s*', ''), ' ')) WHEN len(bu) >= 2 THEN list_transform(bu, lambda z: trim(regexp_replace(z, '^\s*[-•*►▪]\s+', ''), ' ')) ELSE list_transform(regexp_split_to_array(answer, ';\s+'), lambda z: trim(z, ' ')) END AS raw FROM n),
+    f AS (SELECT doc_id, question, list_filter(raw, lambda z: length(z) > 3 AND NOT regexp_matches(z, '^\d+$')) AS items FROM i),
+    u AS (SELECT doc_id, question, list_filter(items, lambda z, k: list_position(list_transform(items, lambda y: lower(y)), lower(z)) = k)[1:10] AS items FROM f)
+    SELECT doc_id, question, array_to_string(items, '|') AS answers, round(((length(question) > 10)::INT + (len(items) > 0)::INT + 0.5::DOUBLE * (len(items) >= 3)::INT + 0.5 * coalesce(len(items) > 0 AND list_sum(list_transform(items, lambda z: length(z))) / len(items) > 20, false)::INT + 0.5 * regexp_matches(question, '\b20\d\d\b')::INT + 0.5 * regexp_matches(lower(question), '^(?:the|der|le|el) ')::INT + (length(question) > 50 AND length(question) < 1000)::INT) / 5, 6) AS score FROM u""")
 def x7(t: Tables) -> DataFrame:
-    lines = F.split("text", "\n")
-    c = t.documents.where("text is not null").select("doc_id", lines[0].alias("question"), (F.size(lines) - 1).alias("answers"), "lang")
-    score = F.when(F.length("question") >= 10, 0.4).otherwise(0.0) + 0.3 * F.least(F.lit(1.0), F.col("answers") / 3) + F.when(F.col("lang").isNotNull(), 0.3).otherwise(0.0)
-    return c.select("doc_id", "question", "answers", F.round(score, 6).alias("score"))
+    said = F.transform(F.split(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D;]+", " "), r"\. "), lambda p: F.trim(p))
+    a, b, c = (F.coalesce(F.get(said, F.lit(k)), F.lit("")) for k in (1, 2, 3))
+    kind = F.col("doc_id") % 4
+    answer = F.when(kind == 0, F.concat(F.lit("1) "), a, F.lit("\n2. "), b, F.lit("\nc) "), c)).when(kind == 1, F.concat(F.lit("• "), a, F.lit("\n* "), b)).when(kind == 2, F.concat(a, F.lit("; "), b, F.lit("; "), a)).otherwise(a)
+    asked = F.concat(said[0], F.when(F.col("doc_id") % 3 == 0, " (2023)?").otherwise("?"))
+    texts = t.documents.select("doc_id", asked.alias("q"), F.concat(asked, F.lit("\n\nErwartete Antwort: "), answer).alias("text"))
+    parsed = texts.select("doc_id", F.split("text", "\n\n")[0].alias("question"), E.exam_items(E.exam_answer(F.col("text"))).alias("items"))
+    data, named = F.regexp_like("question", F.lit(r"\b20\d\d\b")), F.regexp_like(F.lower("question"), F.lit("^(?:the|der|le|el) "))
+    return parsed.select("doc_id", "question", F.array_join("items", "|").alias("answers"), F.round(E.exam_score(F.col("question"), F.col("items"), data, named), 6).alias("score"))
 
 
 @query("s14_not_done", "SELECT event_id FROM events WHERE event_id NOT IN (SELECT event_id FROM events WHERE event_type = 'click')")

@@ -252,3 +252,21 @@ def test_weights_of_a_file(spark, tmp_path):
 
     rows = spark.createDataFrame([(1, ["ekg", "herz", "ekg"])], "id long, w array<string>")
     assert [(r["category"], r["score"]) for r in weighted_scores(rows, "id", F.col("w"), weights).collect()] == [("cardio", 3.5)]
+
+
+def test_exam_items_and_trimmed_chunks(spark):
+    from lektura.operators import extract
+
+    cases = {
+        "Frage?\nAntwort: 1) Aspirin geben\n2. EKG schreiben\n3) aspirin geben": ["Aspirin geben", "EKG schreiben"],
+        "Frage?\nTherapie:\n• Ruhe halten\n• 42\n* Wasser trinken": ["Ruhe halten", "Wasser trinken"],
+        "Frage?\n\nBlut abnehmen; Labor rufen;Rest": ["Blut abnehmen", "Labor rufen;Rest"],
+        "Frage ohne Antwort": [],
+        None: [],
+    }
+    rows = spark.createDataFrame([(t,) for t in cases], "text string")
+    found = {r["text"]: r["x"] for r in rows.select("text", extract.exam_items(extract.exam_answer(F.col("text"))).alias("x")).collect()}
+    assert found == cases
+    long = "0 " + "w" * 300
+    pieces = [r["piece"] for r in extract.chunks(spark.createDataFrame([(f" {long} \n\n{long}1 ",)], "text string"), F.col("text")).orderBy("chunk").collect()]
+    assert pieces == [long, long + "1"]
