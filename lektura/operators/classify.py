@@ -35,11 +35,9 @@ class Rules:
         object.__setattr__(self, "categories", list(found))
 
 
-def category_scores(text: Column, rules: Rules) -> Column:
-    """An array of (category, score) for each category of the rules, 0 where nothing is found; built in expressions, so
-    that a text is read in one pass of the scan and no row is exploded."""
-    low = F.lower(filled(text))
-    codes = F.transform(F.regexp_extract_all(F.upper(filled(text)), F.lit(CODE), F.lit(1)), lambda c: F.substring(c, 1, 1))
+def category_scores(low: Column, codes: Column, rules: Rules) -> Column:
+    """An array of (category, score) for each category of the rules, 0 where nothing is found, from the lower-case text
+    and the first letters of its codes; built in expressions, so that no row is exploded."""
     known = "".join(letters for letters, _ in rules.codes)
     group = F.coalesce(*[F.when(_any(low, words), F.lit(k)) for k, (words, _, _) in enumerate(rules.groups)], F.lit(-1))
     made = []
@@ -47,7 +45,9 @@ def category_scores(text: Column, rules: Rules) -> Column:
         score = F.lit(0.0)
         for of, keyword, weight in rules.keywords:
             if of == category:
-                there = F.regexp_like(low, F.lit(rf"(?U)\b{_quoted(keyword)}\b")) if len(keyword) <= 4 else F.contains(low, F.lit(keyword))
+                there = F.contains(low, F.lit(keyword))
+                if len(keyword) <= 4:
+                    there = there & F.regexp_like(low, F.lit(rf"(?U)\b{_quoted(keyword)}\b"))
                 score = score + F.when(there, float(weight)).otherwise(0.0)
         letters = "".join(x for x, of in rules.codes if of == category)
         if letters:
@@ -67,10 +67,12 @@ def categorised(rows: DataFrame, text: Column, rules: Rules, source: Column | No
     """rows with ``category``, ``score``, ``confidence`` and ``method``: ``source`` where a (part, category) of ``sources``
     is in the lower-case source, else ``phrase`` for an exclusive phrase, ``score`` for the best category (ties to the
     first by name), ``none``."""
-    low = F.lower(filled(text))
+    # Columns of their own, so that each text is lowered and searched for codes once.
+    codes = F.transform(F.regexp_extract_all(F.upper(filled(text)), F.lit(CODE), F.lit(1)), lambda c: F.substring(c, 1, 1))
+    rows, low = rows.withColumns({"_low": F.lower(filled(text)), "_codes": codes}), F.col("_low")
     by_source = F.coalesce(*[F.when(F.contains(F.lower(filled(source)), F.lit(part)), F.lit(c)) for part, c in sources], F.lit(None)) if sources else F.lit(None).cast("string")
     phrase = F.coalesce(*[F.when(F.contains(low, F.lit(p)), F.lit(c)) for p, c in rules.exclusive], F.lit(None)) if rules.exclusive else F.lit(None).cast("string")
-    ranked = F.array_sort(F.transform(F.filter(category_scores(text, rules), lambda x: x["score"] > 0), lambda x: F.struct((-x["score"]).alias("n"), x["category"].alias("category"))))
+    ranked = F.array_sort(F.transform(F.filter(category_scores(low, F.col("_codes"), rules), lambda x: x["score"] > 0), lambda x: F.struct((-x["score"]).alias("n"), x["category"].alias("category"))))
     found = rows.withColumns({"_source": by_source, "_phrase": phrase, "_ranked": ranked})
     best, second = -F.get("_ranked", F.lit(0))["n"], -F.get("_ranked", F.lit(1))["n"]
     given = F.col("_source").isNotNull() | F.col("_phrase").isNotNull()
@@ -80,7 +82,7 @@ def categorised(rows: DataFrame, text: Column, rules: Rules, source: Column | No
         "confidence": F.when(given, 1.0).when(best.isNull(), 0.0).otherwise(F.round(confidence(best, second), 6)),
         "method": F.when(F.col("_source").isNotNull(), "source").when(F.col("_phrase").isNotNull(), "phrase").when(best.isNotNull(), "score").otherwise("none"),
     })
-    return found.drop("_source", "_phrase", "_ranked")
+    return found.drop("_source", "_phrase", "_ranked", "_low", "_codes")
 
 
 def _one_of(letters: str) -> Callable[[Column], Column]:
