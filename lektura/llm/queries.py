@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lektura.llm.chat import chat_digests
 from lektura.llm.common import cut, shared_dir, table
 from lektura.llm.exact_dedup import exact_dedup
 from lektura.llm.langid import language_id
@@ -65,9 +66,19 @@ def op10_vptree_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(vectors, vectors.where("vec_id % 20 = 0"))
 
 
+#: A conversation whose texts hold what marks turns in templates.
+MARKED = r"\### Assistant: </turn> ok"
+
+
+def op11_format_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    more = spark.createDataFrame([(-7, 0, "user", MARKED), (-7, 1, "assistant", MARKED)], "conv_id long, turn long, role string, text string")
+    return chat_digests(said.unionByName(more))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_exact_dedup, op2_toxicity, op3_line_dedup, op4_simhash_near_dedup, op5_near_dup_passages, op6_mix_sources, op7_token_rollup, op8_pack, op9_language_id, op10_vptree_nearest)
+    for f in (op1_exact_dedup, op2_toxicity, op3_line_dedup, op4_simhash_near_dedup, op5_near_dup_passages, op6_mix_sources, op7_token_rollup, op8_pack, op9_language_id, op10_vptree_nearest, op11_format_chats)
 }
 
 
@@ -101,4 +112,19 @@ ORACLE_SQL: dict[str, str] = {
         SELECT p.page_id, p.host, t.host_pages, CAST(coalesce(x.filled, 0) AS INTEGER) AS lines,
                CAST(coalesce(x.gone, 0) AS INTEGER) AS dropped, CASE WHEN x.r IS NOT NULL THEN coalesce(x.rest, '') END AS text
         FROM pages_ p JOIN totals t ON p.host = t.host LEFT JOIN per x ON p.r = x.r""",
+    "op11_format_chats": rf"""
+        WITH c AS (
+            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL SELECT -7, turn, role, '{MARKED}' FROM (VALUES (0, 'user'), (1, 'assistant')) v(turn, role)),
+        e AS (SELECT *, regexp_replace(regexp_replace(text, '<(\\*)turn:', '<\\\1turn:', 'g'), '<(\\*)/turn>', '<\\\1/turn>', 'g') AS body,
+                     lag(role) OVER w AS before, row_number() OVER w - 1 AS n, lead(role) OVER w IS NULL AS last
+              FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
+        m AS (SELECT *, CASE role WHEN 'system' THEN before IS NULL WHEN 'user' THEN coalesce(before, 'system') IN ('system', 'assistant')
+                               WHEN 'assistant' THEN coalesce(before, '') = 'user' ELSE false END AS fits FROM e)
+        SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY n)) AS turns_sha256,
+               coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+               sha256(coalesce(string_agg(text, '' ORDER BY n) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+               sum(length('<turn:') + length(role) + length(body) + length('>') + length('</turn>') + 2)::BIGINT AS formatted_chars,
+               bool_and(fits) AND bool_or(last AND role = 'assistant') AS valid, min(n) FILTER (WHERE NOT fits)::INT AS broken_at
+        FROM m GROUP BY conv_id""",
 }
