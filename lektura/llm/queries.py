@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from lektura.llm.chat import chat_digests
 from lektura.llm.common import cut, shared_dir, table
 from lektura.llm.exact_dedup import exact_dedup
+from lektura.llm.filter_audit import filter_audit
+from lektura.llm.hard_negatives import hard_negatives
 from lektura.llm.langid import language_id
 from lektura.llm.line_dedup import ENTITIES, HTML_STEPS, host_of, html_lines, line_dedup
 from lektura.llm.mixing import mix_sources
@@ -76,9 +78,18 @@ def op11_format_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_digests(said.unionByName(more))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label)
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_exact_dedup, op2_toxicity, op3_line_dedup, op4_simhash_near_dedup, op5_near_dup_passages, op6_mix_sources, op7_token_rollup, op8_pack, op9_language_id, op10_vptree_nearest, op11_format_chats)
+    for f in (op1_exact_dedup, op2_toxicity, op3_line_dedup, op4_simhash_near_dedup, op5_near_dup_passages, op6_mix_sources, op7_token_rollup, op8_pack, op9_language_id, op10_vptree_nearest, op11_format_chats, op12_hard_negatives, op13_filter_audit)
 }
 
 
@@ -127,4 +138,30 @@ ORACLE_SQL: dict[str, str] = {
                sum(length('<turn:') + length(role) + length(body) + length('>') + length('</turn>') + 2)::BIGINT AS formatted_chars,
                bool_and(fits) AND bool_or(last AND role = 'assistant') AS valid, min(n) FILTER (WHERE NOT fits)::INT AS broken_at
         FROM m GROUP BY conv_id""",
+    "op12_hard_negatives": """
+        WITH r AS (
+            SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+            FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, list_inner_product(a.v, b.v)::BIGINT AS score
+              FROM r a JOIN r b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v) WHERE a.vec_id % 100 = 0),
+        p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5),
+        n AS (SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id)::INT AS rank, id AS negative_id, positive_score, score AS negative_score
+              FROM p JOIN s USING (anchor_id) WHERE NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score)
+        SELECT * FROM n WHERE rank <= 5""",
+    "op13_filter_audit": r"""
+        WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text FROM documents),
+        w AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words, min(doc_id) OVER (PARTITION BY text) AS first FROM d),
+        f AS (SELECT doc_id, part, (len(words) < 200)::INT + 2 * (100 * len(list_distinct(words)) < 50 * len(words))::INT + 4 * (100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 3 * length(text))::INT
+                     + 8 * regexp_matches(text, '[#$%&*|]')::INT + 16 * coalesce(first < doc_id, false)::INT AS fails FROM w),
+        l AS (SELECT doc_id, coalesce(bool_or(quality = 1), false) AS good, coalesce(bool_or(toxic = 1), false) AS toxic FROM labels GROUP BY doc_id),
+        c AS (SELECT part, fails, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic, count(*) AS n FROM f LEFT JOIN l ON f.doc_id = l.doc_id GROUP BY ALL),
+        x AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x, unnest([1, 2, 4, 8, 16]) AS v),
+        o AS (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order, [a.v, b.v, c.v, d.v, e.v] AS vs FROM x a, x b, x c, x d, x e WHERE a.v + b.v + c.v + d.v + e.v = 31 AND (a.v | b.v | c.v | d.v | e.v) = 31),
+        s AS (SELECT filter_order, i AS step, vs[i] AS own, coalesce(list_sum(vs[1:i - 1]), 0)::INT AS before FROM o, unnest([1, 2, 3, 4, 5]) AS t(i)),
+        r AS (SELECT part, filter_order, step, own, n, good, toxic, fails, (fails & own) <> 0 AS here, (fails & before) <> 0 AS earlier FROM c, s),
+        t AS (SELECT part, filter_order, step, own, coalesce(sum(n) FILTER (WHERE NOT here AND NOT earlier), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (WHERE here AND NOT earlier), 0)::BIGINT AS removed,
+                     coalesce(sum(n) FILTER (WHERE here AND earlier), 0)::BIGINT AS redundant, coalesce(sum(n) FILTER (WHERE fails = own), 0)::BIGINT AS unique_fails,
+                     coalesce(sum(n) FILTER (WHERE here AND NOT earlier AND good), 0)::BIGINT AS good_lost, coalesce(sum(n) FILTER (WHERE here AND NOT earlier AND toxic), 0)::BIGINT AS toxic_lost
+              FROM r GROUP BY part, filter_order, step, own)
+        SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley FROM t""",
 }
