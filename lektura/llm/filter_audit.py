@@ -38,9 +38,19 @@ def _row(schema: str, **values) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([values[name]], _types[kind]) for name, kind in fields], [name for name, _ in fields])
 
 
+def _packed(numbers: np.ndarray) -> bytes:
+    """Numbers of 32 bits, compressed: first all lowest bytes, then the next."""
+    return pa.compress(np.ascontiguousarray(numbers.view(np.uint8).reshape(-1, 4).T).tobytes(), "zstd", asbytes=True)
+
+
+def _unpacked(data: bytes, n: int) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(data, 4 * n, "zstd", asbytes=True) if n else b"", np.uint8)
+    return np.ascontiguousarray(planes.reshape(4, n).T).view(np.int32).ravel()
+
+
 def term_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", part_col: str = "lang") -> DataFrame:
     """One row for each batch of documents: its different words, ids and parts, flags (bit 0: more than 3 in 100 characters are
-    ``A-Z``; bit 1: one of ``#$%&*|``), SHA-256 of the texts, and the CSR arrays over the shard's own words."""
+    ``A-Z``; bit 1: one of ``#$%&*|``), SHA-256 of the texts, and the CSR arrays over the shard's own words, compressed."""
     small_batches(docs.sparkSession, rows=5000)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(part_col), F.lit("")).alias("part"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"), F.spark_partition_id().alias("at"))
 
@@ -60,44 +70,37 @@ def term_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             if texts:
                 yield _row(
                     _SHARDS, shard=(batch.column("at")[0].as_py() << 32) + k, words=list(known), ids=batch.column("id").to_pylist(), parts=batch.column("part").to_pylist(), flags=bytes(flags),
-                    texts=texts, starts=np.array(starts, np.int64).tobytes(), codes=np.concatenate(codes).tobytes(), counts=np.concatenate(counts).tobytes(),
+                    texts=texts, starts=np.array(starts, np.int64).tobytes(), codes=_packed(np.concatenate(codes)), counts=_packed(np.concatenate(counts)),
                 )
 
     return rows.mapInArrow(shards, _SHARDS)
 
 
-def dictionary(words: DataFrame) -> DataFrame:
-    """word, number: the different words numbered from 0 without gaps, by hash bucket and, there, in order."""
-    distinct = cut(words.select("word").distinct())
-    buckets = max(1, -(-distinct.count() // PER_BUCKET))
-    dealt = distinct.withColumn("bucket", F.pmod(F.xxhash64("word"), F.lit(buckets)))
-    sizes = {r["bucket"]: r["count"] for r in dealt.groupBy("bucket").count().collect()}  # one number for each PER_BUCKET words
-    before = np.concatenate([[0], np.cumsum([sizes.get(b, 0) for b in range(buckets)])])
-    first = F.get(F.lit([int(x) for x in before[:-1]]), F.col("bucket").cast("int"))
-    place = F.row_number().over(Window.partitionBy("bucket").orderBy("word"))
-    return dealt.select("word", (first + place - 1).cast("long").alias("number"))
+def dictionary(shards: DataFrame) -> DataFrame:
+    """shard, code, word, number: the words of the shards with a number that no other word of the corpus has: its hash bucket
+    and its place there. A frequent word has a row for each shard at most."""
+    total = shards.select(F.sum(F.size("words"))).first()[0] or 0
+    words = shards.select("shard", F.posexplode("words").alias("code", "word"))
+    bucket = F.pmod(F.xxhash64("word"), F.lit(max(1, -(-total // PER_BUCKET))))
+    place = F.dense_rank().over(Window.partitionBy("bucket").orderBy("word"))
+    return words.withColumn("bucket", bucket).select("shard", "code", "word", (F.shiftleft("bucket", 36) + place).alias("number"))
 
 
 def term_matrix(shards: DataFrame, numbers: DataFrame) -> DataFrame:
     """The shards with the corpus's word numbers in place of their own (``words``, 64 bits each), row sums and the number of
     entries of each row."""
-    at = shards.select("shard", F.posexplode("words").alias("code", "word")).join(numbers, "word").groupBy("shard").agg(F.sort_array(F.collect_list(F.struct("code", "number"))).alias("n"))
-    joined = shards.drop("words").join(at.select("shard", F.col("n.number").alias("numbers")), "shard", "left")
-
-    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in range(batch.num_rows):
-                x = {name: batch.column(name)[row] for name in batch.schema.names}
-                known = x["numbers"].values.to_numpy() if x["numbers"].is_valid else np.zeros(0, np.int64)
-                starts, counts = np.frombuffer(x["starts"].as_py(), np.int64), np.frombuffer(x["counts"].as_py(), np.int32).astype(np.int64)
-                words = known[np.frombuffer(x["codes"].as_py(), np.int32)]
-                totals = np.concatenate([[0], np.cumsum(counts)])
-                yield _row(
-                    _MATRIX, **{c: x[c].as_py() for c in ("shard", "ids", "parts", "flags", "texts", "starts", "counts")},
-                    sums=totals[starts[1:]] - totals[starts[:-1]], kinds=np.diff(starts), words=words.tobytes(),
-                )
 
-    return joined.mapInArrow(numbered, _MATRIX)
+    def numbered(shard: pa.Table, known: pa.Table) -> pa.Table:
+        number = np.zeros(known.num_rows, np.int64)
+        number[known["code"].to_numpy()] = known["number"].to_numpy()
+        x = {name: shard[name][0].as_py() for name in shard.column_names}
+        starts = np.frombuffer(x["starts"], np.int64)
+        counts, words = (_unpacked(x[c], int(starts[-1])) for c in ("counts", "codes"))
+        totals = np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])
+        row = _row(_MATRIX, **{c: x[c] for c in ("shard", "ids", "parts", "flags", "texts", "starts")}, sums=totals[starts[1:]] - totals[starts[:-1]], kinds=np.diff(starts), words=number[words].tobytes(), counts=counts.tobytes())
+        return pa.Table.from_batches([row])
+
+    return shards.drop("words").groupBy("shard").cogroup(numbers.select("shard", "code", "number").groupBy("shard")).applyInArrow(numbered, _MATRIX)
 
 
 def failures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", part_col: str = "lang", few_words: int = 200, kinds_share: int = 50) -> DataFrame:
@@ -109,7 +112,7 @@ def failures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pa
     rows that repeat an id and text pass or fail together. Other columns are ignored, whatever their names.
     """
     shards = written(term_shards(docs, id_col, text_col, part_col))
-    matrix = term_matrix(shards, dictionary(shards.select(F.explode("words").alias("word"))))
+    matrix = term_matrix(shards, dictionary(shards))
     at = F.explode(F.sequence(F.lit(0), F.size("ids") - 1)).alias("at")
     rows = matrix.select("ids", "parts", "flags", "texts", "sums", "kinds", at).select(
         F.get("ids", F.col("at")).alias("id"), F.get("parts", F.col("at")).alias("part"), F.get("texts", F.col("at")).alias("text"), F.get("sums", F.col("at")).alias("words"),
