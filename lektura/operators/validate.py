@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lektura.functions.automaton import elements_hit, label_hits
+from lektura.functions.rules import rule_rows
 from lektura.functions.text import filled
 
 #: Single dose from and to, daily dose, fatal above; units are not converted.
@@ -130,16 +132,31 @@ def decision(confidence: Column, safe: Column, good: Column, is_valid: Column, l
 PHRASE_COST = {"high": 0.2, "medium": 0.1, "low": 0.05}
 
 
-def phrase_score(text: Column, phrases: Sequence[tuple[str, str]]) -> Column:
-    """One less the costs of the (pattern, severity) phrases found, each occurrence, at least 0."""
-    cost = sum((F.regexp_count(filled(text), F.lit(p)) * PHRASE_COST[s] for p, s in phrases), F.lit(0.0))
-    return F.greatest(F.lit(0.0), F.round(1 - cost, 6))
-
-
-def without_sentences(text: Column, patterns: Sequence[str]) -> Column:
-    """The text without the sentences that hold one of the patterns; each goes once."""
-    kept = F.filter(F.split(filled(text), r"(?<=[.!?])\s+"), lambda s: ~F.regexp_like(s, F.lit("|".join(f"(?:{p})" for p in patterns))))
-    return F.array_join(kept, " ")
+def phrase_check(rows: DataFrame, text: Column, table: DataFrame, valid_from: float = 0.7) -> DataFrame:
+    """rows with phrase_score, phrase_hits, phrase_types and phrase_valid: one less the costs of all occurrences of the
+    phrases of ``table`` (type, pattern, severity), at least 0; how many there are, and of which types, sorted."""
+    known, costs = sorted(rule_rows(table, "type", "pattern", "severity")), list(PHRASE_COST.values())
+    types = sorted({t for t, _, _ in known})
+    rules = [(types.index(t) * len(costs) + list(PHRASE_COST).index(severity), pattern, 1.0) for t, pattern, severity in known]
+    cost = lambda x: x["n"] * F.get(F.lit(costs), x["label"] % len(costs))
+    found = rows.withColumn("_hits", label_hits(filled(text), rules))
+    named = F.transform("_hits", lambda x: F.get(F.lit(types), F.floor(x["label"] / len(costs)).cast("int"))) if types else F.array().cast("array<string>")
+    found = found.withColumns({
+        "phrase_score": F.round(F.greatest(F.lit(0.0), 1 - F.aggregate("_hits", F.lit(0.0), lambda s, x: s + cost(x))), 6),
+        "phrase_hits": F.aggregate("_hits", F.lit(0).cast("long"), lambda s, x: s + x["n"]),
+        "phrase_types": F.array_distinct(named),
+    })
+    return found.withColumn("phrase_valid", F.col("phrase_score") >= valid_from).drop("_hits")
+
+
+def without_phrases(text: Column, table: DataFrame, least: str = "medium") -> Column:
+    """The text without the sentences, each up to its ``.``, ``!``, ``?`` or line end, that hold a phrase of at least the severity
+    ``least``; then at most one empty line and single spaces, none outside."""
+    severities = list(PHRASE_COST)  # the gravest first
+    patterns = sorted(p for p, severity in rule_rows(table, "pattern", "severity") if severities.index(severity) <= severities.index(least))
+    sentences = F.regexp_extract_all(filled(text), F.lit(r"[^.!?\n]*[.!?\n]|[^.!?\n]+"), F.lit(0))
+    held = F.zip_with(sentences, elements_hit(sentences, patterns), lambda s, hit: F.when(~hit, s))
+    return F.trim(F.regexp_replace(F.regexp_replace(F.array_join(F.array_compact(held), ""), r"\n{3,}", "\n\n"), " {2,}", " "), F.lit(" \n"))
 
 
 def change_score(before: Column, after: Column) -> Column:

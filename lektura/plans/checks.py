@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lektura.functions import text as X
-from lektura.functions.rules import all_matches, any_match, confidence, first_match, hit_count, weighted_scores
+from lektura.functions.rules import any_match, confidence, first_match, weighted_scores
 from lektura.operators import classify as C
 from lektura.operators import validate as V
 from lektura.operators.classify import Rules
@@ -91,28 +91,6 @@ def k2(t: Tables) -> DataFrame:
     return C.categorised(coded(t), F.col("text"), RULES, F.col("source"), SOURCES).select("doc_id", "category", "score", "confidence", "method")
 
 
-TYPES = {"license": ("License", "Apache"), "data": (r"\d{5,}", "%%%"), "table": (r" \| ", "&&&")}
-
-
-@query("k3_content_type", r"""WITH h AS (SELECT doc_id, regexp_matches(text, 'License')::INT + regexp_matches(text, 'Apache')::INT AS license, regexp_matches(text, '\d{5,}')::INT + regexp_matches(text, '%%%')::INT AS data, regexp_matches(text, ' \| ')::INT + regexp_matches(text, '&&&')::INT AS "table" FROM documents)
-    SELECT doc_id, CASE WHEN license + data + "table" = 0 THEN 'prose' WHEN license >= data AND license >= "table" THEN 'license' WHEN data >= "table" THEN 'data' ELSE 'table' END AS kind, round(greatest(license, data, "table") / greatest(license + data + "table", 1), 6) AS share FROM h""")
-def k3(t: Tables) -> DataFrame:
-    counts = t.documents.select("doc_id", *[hit_count(F.col("text"), ps).alias(k) for k, ps in TYPES.items()])
-    a, b, c = (F.col(k) for k in TYPES)
-    kind = F.when(a + b + c == 0, "prose").when((a >= b) & (a >= c), "license").when(b >= c, "data").otherwise("table")
-    return counts.select("doc_id", kind.alias("kind"), F.round(F.greatest(a, b, c) / F.greatest(a + b + c, F.lit(1)), 6).alias("share"))
-
-
-@query("k5_theme_score", r"""WITH s AS (SELECT doc_id, unnest(['ther', 'tion', 'reau']) AS theme, text, n_chars FROM documents WHERE n_chars >= 50), c AS (SELECT doc_id, theme, least(1, len(regexp_extract_all(lower(text), theme)) * 1000.0::DOUBLE / length(text) / 10) AS score FROM s)
-    SELECT doc_id, theme, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, theme) AS n FROM c WHERE score > 0) WHERE n <= 2""")
-def k5(t: Tables) -> DataFrame:
-    themes = ("ther", "tion", "reau")
-    scores = F.array(*[F.struct(F.lit(x).alias("theme"), F.least(F.lit(1.0), F.regexp_count(F.lower("text"), F.lit(x)) * F.lit(1000.0) / F.length("text") / 10).alias("score")) for x in themes])
-    rows = t.documents.where("n_chars >= 50").select("doc_id", F.explode(scores).alias("x")).select("doc_id", "x.*").where("score > 0")
-    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("score"), "theme"))
-    return rows.withColumn("n", rank).where("n <= 2").select("doc_id", "theme", F.round("score", 6).alias("score"))
-
-
 CASCADE = ((r"^\w+ (?:the|and) ", "english"), ("(?i)license", "legal"), (r"\d{9,}", "number"), ("[éè]", "french"))
 
 
@@ -121,13 +99,6 @@ def k7(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", first_match(F.col("text"), CASCADE, "other").alias("category"))
 
 
-@query("k9_priority", r"""WITH q AS (SELECT conv_id, turn, regexp_matches(lower(text), 'ther')::INT + regexp_matches(lower(text), 'tion')::INT + regexp_matches(lower(text), 'ment')::INT AS hits, length(text) AS n FROM conversations)
-    SELECT conv_id, turn, CASE WHEN hits >= 2 THEN 'high' WHEN hits = 1 OR n > 500 THEN 'medium' ELSE 'low' END AS priority, hits * 2 + CAST(n > 300 AS INT) AS complexity FROM q""")
-def k9(t: Tables) -> DataFrame:
-    hits, n = hit_count(F.lower("text"), ("ther", "tion", "ment")), F.length("text")
-    return t.conversations.select("conv_id", "turn", F.when(hits >= 2, "high").when((hits == 1) | (n > 500), "medium").otherwise("low").alias("priority"), (hits * 2 + (n > 300).cast("int")).alias("complexity"))
-
-
 @query("k10_study_status", "SELECT event_id, CASE WHEN event_type = 'error' THEN 'needs_review' WHEN event_type = 'click' AND value > 20 THEN 'needs_context' ELSE 'ready' END AS status, CASE WHEN event_type <> 'error' THEN 'none' WHEN value > 20 THEN 'high' WHEN value > 10 THEN 'medium' ELSE 'low' END AS priority FROM events")
 def k10(t: Tables) -> DataFrame:
     kind, v = F.col("event_type"), F.col("value")
@@ -141,17 +112,6 @@ def k11(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", F.explode(queues).alias("queue"))
 
 
-@query("k13_domains", "SELECT doc_id, CASE WHEN regexp_matches(text, 'tion|ment') OR regexp_matches(text, 'ther') OR regexp_matches(text, 'lich') THEN concat_ws(',', CASE WHEN regexp_matches(text, 'tion|ment') THEN 'a' END, CASE WHEN regexp_matches(text, 'ther') THEN 'b' END, CASE WHEN regexp_matches(text, 'lich') THEN 'c' END) ELSE 'unknown' END AS domains FROM documents")
-def k13(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", F.array_join(all_matches(F.col("text"), (("tion|ment", "a"), ("ther", "b"), ("lich", "c")), "unknown"), ",").alias("domains"))
-
-
-@query("k14_facets", "WITH f AS (SELECT unnest([CASE WHEN contains(text, 'ther') THEN 'ther' END, CASE WHEN contains(text, 'tion') THEN 'tion' END]) AS facet FROM documents UNION ALL SELECT unnest([CASE WHEN contains(text, 'ther') THEN 'ther' END, CASE WHEN contains(text, 'tion') THEN 'tion' END]) FROM benchmark) SELECT facet, count(*) AS n FROM f WHERE facet IS NOT NULL GROUP BY 1")
-def k14(t: Tables) -> DataFrame:
-    both = t.documents.select("text").union(t.benchmark.select("text"))
-    return both.select(F.explode(all_matches(F.col("text"), (("ther", "ther"), ("tion", "tion")))).alias("facet")).groupBy("facet").agg(F.count(F.lit(1)).alias("n"))
-
-
 DRUGS = [r[0] for r in V.DOSE_RANGES]
 LABS = [r[0] for r in V.LAB_RANGES]
 LIST_SQL = lambda names: "[" + ", ".join(f"'{n}'" for n in names) + "]"
@@ -264,19 +224,6 @@ def v10(t: Tables) -> DataFrame:
     return all_verdicts(t).select("l_orderkey", V.decision(F.col("confidence"), safe, good, F.col("is_valid")).alias("decision"))
 
 
-PHRASES = (("(?i)licensed", "high"), ("reau", "low"), ("ther", "medium"))
-
-
-@query("v12_phrase_score", "SELECT doc_id, greatest(0, round(1 - (len(regexp_extract_all(text, '(?i)licensed')) * 0.2 + len(regexp_extract_all(text, 'reau')) * 0.05 + len(regexp_extract_all(text, 'ther')) * 0.1), 6)) AS score FROM documents")
-def v12(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", V.phrase_score(F.col("text"), PHRASES).alias("score"))
-
-
-@query("v12_without_sentences")  # splitting behind a look-behind is no SQL of the oracle
-def v12b(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", V.without_sentences(F.col("text"), ["(?i)licensed", "reau"]).alias("text"))
-
-
 @query("v13_line_cleaner", r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents) SELECT doc_id, string_agg(t, chr(10) ORDER BY pos) FILTER (WHERE NOT regexp_matches(t, 'Licensed|\d{9,}')) AS text, count(*) FILTER (WHERE regexp_matches(t, 'Licensed|\d{9,}')) AS removed FROM l GROUP BY 1""")
 def v13(t: Tables) -> DataFrame:
     kept = F.filter(F.split("text", "\n"), lambda x: ~any_match(x, ["Licensed", r"\d{9,}"]))

@@ -85,15 +85,6 @@ def j30(t: Tables) -> DataFrame:
     return joined.select("o_orderkey", F.when(F.col("o_totalprice") > 50000, F.coalesce(own, F.col("s"))).otherwise(own).alias("status"))
 
 
-@query("k4_multi_label", r"""WITH s AS (SELECT doc_id, unnest(['ther', 'tion', 'que']) AS subject, text, source FROM documents), c AS (SELECT doc_id, subject, least(1, (2 * len(regexp_extract_all(lower(text), '(?:^| )' || subject || '(?: |$)')) + CASE WHEN source = 'src1' THEN 10 ELSE 0 END) / greatest(1, len(regexp_split_to_array(text, '\s+')) * 0.01)) AS score FROM s)
-    SELECT doc_id, coalesce(string_agg(subject, ',' ORDER BY score DESC, subject) FILTER (WHERE score >= 0.1), 'other') AS subjects FROM c GROUP BY doc_id""")
-def k4(t: Tables) -> DataFrame:
-    size = F.greatest(F.lit(1.0), F.size(F.split("text", r"\s+")) * 0.01)
-    scores = [F.struct((-F.least(F.lit(1.0), (2 * F.regexp_count(F.lower("text"), F.lit(f"(?:^| ){s}(?: |$)")) + F.when(F.col("source") == "src1", 10).otherwise(0)) / size)).alias("s"), F.lit(s).alias("subject")) for s in ("ther", "tion", "que")]
-    kept = F.slice(F.filter(F.array_sort(F.array(*scores)), lambda x: -x["s"] >= 0.1), 1, 3)
-    return t.documents.where("text is not null").select("doc_id", kept.alias("k")).select("doc_id", F.when(F.size("k") == 0, "other").otherwise(F.array_join(F.transform("k", lambda x: x["subject"]), ",")).alias("subjects"))
-
-
 @query("k6_theme_guidelines", """WITH k(word, society) AS (VALUES ('ther', 's1'), ('tion', 's2'), ('reau', 's3')), g(society, guideline) AS (VALUES ('s1', 'g1'), ('s1', 'g2'), ('s2', 'g3'), ('s3', 'g4')), m AS (SELECT doc_id, word, society, row_number() OVER (PARTITION BY doc_id ORDER BY word) AS n FROM documents, k WHERE contains(lower(text), word))
     SELECT DISTINCT doc_id, guideline FROM m JOIN g USING (society) WHERE n <= 2""")
 def k6(t: Tables) -> DataFrame:
@@ -117,16 +108,6 @@ def k15(t: Tables) -> DataFrame:
     return tagged.groupBy(tag.alias("tag")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("k16_emergency", "SELECT doc_id, regexp_matches(lower(text), 'sofort|akut|ther') AS emergency FROM documents")
-def k16(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", any_match(F.lower("text"), ["sofort", "akut", "ther"]).alias("emergency"))
-
-
-@query("k18_image_flag", "SELECT p_partkey, regexp_matches(p_name, 'ring|gear') OR p_size > 45 AS relevant FROM part")
-def k18(t: Tables) -> DataFrame:
-    return t.part.select("p_partkey", (any_match(F.col("p_name"), ["ring", "gear"]) | (F.col("p_size") > 45)).alias("relevant"))
-
-
 @query("k19_issue_hint", "SELECT event_id, CASE WHEN event_type = 'error' THEN 'check the source' WHEN event_type LIKE '%click%' THEN 'add context' ELSE '' END AS hint FROM events")
 def k19(t: Tables) -> DataFrame:
     return t.events.select("event_id", first_match(F.col("event_type"), (("^error$", "check the source"), ("click", "add context")), "").alias("hint"))
