@@ -65,36 +65,8 @@ def two_sided_difference(left: DataFrame, right: DataFrame, key: str) -> DataFra
     return only(left, right, "left").union(only(right, left, "right"))
 
 
-def length_bound(a: Column, b: Column) -> Column:
-    """No two texts of these lengths can have a greater ratio."""
-    return 2 * F.least(F.length(a), F.length(b)) / (F.length(a) + F.length(b))
-
-
-def tiered_match(queries: DataFrame, blocks: DataFrame, by: Sequence[str], tie: Sequence[str], margin: float = 0.02) -> DataFrame:
-    """For each query (qid, qtext and the columns ``by``) the block (bid, btext) it names: qid, bid, score, method.
-
-    First by equal text, ties by ``tie``. Else, within equal ``by``, by ratio: under 20 characters never, then at least
-    .95, .92 from 50 and .90 from 120; a runner-up within ``margin`` makes it ambiguous. The bound by lengths, lower
-    by the margin as the runner-up counts, is checked before the ratio; it loses no match.
-    """
-    exact = queries.join(blocks, [*by], "inner").where("qtext = btext")
-    exact = first_per_key(exact, ["qid"], *[F.col(c) for c in tie]).select("qid", "bid", F.lit(1.0).alias("score"), F.lit("exact").alias("method"))
-    rest = queries.join(exact, "qid", "left_anti")
-    size = F.length("qtext")
-    needed = F.when(size < 50, 0.95).when(size < 120, 0.92).otherwise(0.90)
-    near = rest.where(size >= 20).join(blocks, [*by]).where(length_bound(F.col("qtext"), F.col("btext")) >= needed - margin)
-    near = near.withColumn("score", ratio("qtext", "btext")).where(F.col("score") >= needed - margin)
-    order = Window.partitionBy("qid").orderBy(F.desc("score"), *[F.col(c) for c in tie])
-    ranked = near.withColumns({"_n": F.row_number().over(order), "_next": F.lead("score").over(order), "_needed": needed}).where((F.col("_n") == 1) & (F.col("score") >= F.col("_needed")))
-    ambiguous = F.col("score") - F.col("_next") < margin
-    fuzzy = ranked.select("qid", F.when(ambiguous, F.lit(None)).otherwise(F.col("bid")).alias("bid"), "score", F.when(ambiguous, "ambiguous").otherwise("fuzzy").alias("method"))
-    short = F.when(size < 20, "too short").otherwise("none")
-    none = rest.join(fuzzy, "qid", "left_anti").select("qid", F.lit(None).cast(blocks.schema["bid"].dataType).alias("bid"), F.lit(None).cast("double").alias("score"), short.alias("method"))
-    return exact.unionByName(fuzzy).unionByName(none)
-
-
-def contained_or_shared(left: DataFrame, right: DataFrame, least: int = 2, longer: int = 3) -> DataFrame:
-    """Pairs (lid, rid) whose name keys (lname, rname) share at least ``least`` parts longer than ``longer``: an
+def shared_parts(left: DataFrame, right: DataFrame, least: int = 2, longer: int = 3) -> DataFrame:
+    """Pairs (lid, rid) whose name keys (lname, rname) share at least ``least`` parts longer than ``longer``, with ``shared``: an
     equi-join on parts, so only rows that share one meet."""
     parts = lambda rows, c: F.explode(F.array_distinct(F.filter(F.split(F.lower(rows[c]), r"[^\p{L}\p{N}]+"), lambda p: F.length(p) > longer)))
     a = left.select("lid", parts(left, "lname").alias("part"))

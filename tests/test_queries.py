@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from lektura import plans
 from lektura.functions import text as X
 from lektura.functions.rules import confidence, first_match
-from lektura.operators import aggregates, extract, joins, ranking, retrieval, validate
+from lektura.operators import aggregates, extract, joins, ranking, retrieval, similarity, validate
 from lektura.sources import readers
 from lektura.streaming import reviews
 
@@ -109,7 +109,7 @@ def test_chunks_by_hand(spark):
 def test_tiered_match_loses_nothing(spark):
     blocks = [(i, f"k{i % 3}", f"what is the meaning of entry number {i} in the {'longer ' * (i % 5)}list?") for i in range(60)]
     asked = [(i, f"k{i % 3}", t.replace("meaning", "meanings") if i % 4 else t) for i, _, t in blocks] + [(100, "k0", "short?"), (101, "k1", "nothing of this kind is here at all")]
-    found = {r["qid"]: (r["bid"], r["method"]) for r in joins.tiered_match(spark.createDataFrame(asked, "qid int, k string, qtext string"), spark.createDataFrame(blocks, "bid int, k string, btext string"), ["k"], ["bid"]).collect()}
+    found = {r["qid"]: (r["bid"], r["method"]) for r in similarity.tiered_match(spark.createDataFrame(asked, "qid int, k string, qtext string"), spark.createDataFrame(blocks, "bid int, k string, btext string"), ["k"], ["bid"]).collect()}
     for qid, k, q in asked:
         same = [b for b, bk, t in blocks if bk == k and t == q]
         if same:
