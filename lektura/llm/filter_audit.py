@@ -10,23 +10,21 @@ for each part and set of failed filters, from which all orders of the filters ar
 from __future__ import annotations
 
 import hashlib
-import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from itertools import permutations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lektura.llm.common import cut, small_batches, written
 
 FILTERS = "ABCDE"
-ODD = re.compile(rb"[#$%&*|]")
+ODD = (b"#", b"$", b"%", b"&", b"*", b"|")
 NOT_CAPITAL = bytes(x for x in range(256) if not 65 <= x <= 90)
-CONTINUED = bytes(range(0x80, 0xC0))  # bytes of UTF-8 that begin no character
-PER_BUCKET = 200_000  # words numbered in one task
 
 _SHARDS = "shard long, words array<binary>, ids array<long>, parts array<string>, flags binary, texts array<binary>, starts binary, codes binary, counts binary"
 _MATRIX = "shard long, ids array<long>, parts array<string>, flags binary, texts array<binary>, sums array<long>, kinds array<long>, starts binary, words binary, counts binary"
@@ -52,20 +50,20 @@ def term_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """One row for each batch of documents: its different words, ids and parts, flags (bit 0: more than 3 in 100 characters are
     ``A-Z``; bit 1: one of ``#$%&*|``), SHA-256 of the texts, and the CSR arrays over the shard's own words, compressed."""
     small_batches(docs.sparkSession, rows=5000)
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(part_col), F.lit("")).alias("part"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"), F.spark_partition_id().alias("at"))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(part_col), F.lit("")).alias("part"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.spark_partition_id().alias("at"))
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for k, batch in enumerate(batches):
             known: defaultdict[bytes, int] = defaultdict()
             known.default_factory = known.__len__
             codes, counts, starts, flags, texts = [], [], [0], bytearray(), []
-            for text in batch.column("text").to_pylist():
+            column = batch.column("text")
+            for text, characters in zip(column.cast(pa.binary()).to_pylist(), pc.utf8_length(column).to_pylist()):
                 own = Counter(text.split())  # bytes are parted at ASCII white space
                 codes.append(np.fromiter(map(known.__getitem__, own), np.int32, len(own)))
                 counts.append(np.fromiter(own.values(), np.int32, len(own)))
                 starts.append(starts[-1] + len(own))
-                capitals, characters = len(text.translate(None, NOT_CAPITAL)), len(text.translate(None, CONTINUED))
-                flags.append((100 * capitals > 3 * characters) + 2 * bool(ODD.search(text)))
+                flags.append((100 * len(text.translate(None, NOT_CAPITAL)) > 3 * characters) + 2 * any(x in text for x in ODD))
                 texts.append(hashlib.sha256(text).digest())
             if texts:
                 yield _row(
@@ -76,14 +74,15 @@ def term_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return rows.mapInArrow(shards, _SHARDS)
 
 
-def dictionary(shards: DataFrame) -> DataFrame:
-    """shard, code, word, number: the words of the shards with a number that no other word of the corpus has: its hash bucket
-    and its place there. A frequent word has a row for each shard at most."""
-    total = shards.select(F.sum(F.size("words"))).first()[0] or 0
+def dictionary(shards: DataFrame, bits: int = 32) -> DataFrame:
+    """shard, code, word, number: the words of the shards with a number that no other word of the corpus has: ``bits`` of its
+    hash, and its place in order among the words that share them. A frequent word has a row for each shard at most."""
     words = shards.select("shard", F.posexplode("words").alias("code", "word"))
-    bucket = F.pmod(F.xxhash64("word"), F.lit(max(1, -(-total // PER_BUCKET))))
-    place = F.dense_rank().over(Window.partitionBy("bucket").orderBy("word"))
-    return words.withColumn("bucket", bucket).select("shard", "code", "word", (F.shiftleft("bucket", 36) + place).alias("number"))
+    words = words.withColumn("h", F.shiftrightunsigned(F.xxhash64("word"), 64 - bits))
+    place = F.dense_rank().over(Window.partitionBy("h").orderBy("word")) - 1
+    numbered = words.withColumn("place", place)
+    number = F.when(F.col("place") < 1 << (64 - bits), F.shiftleft("h", 64 - bits) + F.col("place")).otherwise(F.raise_error(F.lit("more words share a hash than have room")).cast("long"))
+    return numbered.select("shard", "code", "word", number.alias("number"))
 
 
 def term_matrix(shards: DataFrame, numbers: DataFrame) -> DataFrame:

@@ -77,15 +77,15 @@ def test_failures_of_each_document(spark):
     assert found == Counter(slow_failures(rows))
 
 
-def test_matrix_is_of_the_corpus_words(spark, monkeypatch):
-    monkeypatch.setattr(A, "PER_BUCKET", 100)  # several buckets
+@pytest.mark.parametrize("bits", [32, 7])  # few bits: words share hashes
+def test_matrix_is_of_the_corpus_words(spark, bits):
     rows, _ = corpus(4)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 40)
     try:
         shards = A.cut(A.term_shards(table(spark, rows).coalesce(2)))
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
-    numbers = A.cut(A.dictionary(shards))
+    numbers = A.cut(A.dictionary(shards, bits))
     pairs = {(r["number"], bytes(r["word"]).decode()) for r in numbers.collect()}
     known = dict(pairs)
     want = {w for _, t, _ in rows for w in re.findall(r"[^\x20\x09-\x0D]+", t or "")}
