@@ -2,21 +2,60 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lektura.session import cut
+
+
+def dealt_in_order(rows: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
+    """The rows by ranges of key and order, each range in a partition of its own number ``_part``: a key with many rows has many
+    partitions. Cut, so that the numbers stay."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return cut(rows.repartitionByRange(parts, *keys, *order).withColumn("_part", F.spark_partition_id()))
+
+
+def running(rows: DataFrame, keys: Sequence[str], order: Sequence[Column], place: str | None = None, sums: Mapping[str, Column] | None = None) -> DataFrame:
+    """Adds ``place``, the row's number in its key from 1, and running sums by name, up to and with the row; null counts as 0.
+
+    No task holds a whole key: ranges are numbered and summed by themselves, and what a key has in the ranges before is
+    added. ``order`` should tell all rows of a key apart; null keys are one key.
+    """
+    made = dict(sums or {})
+    valued = rows.withColumns({f"_v{k}": F.coalesce(c, F.lit(0)) for k, c in enumerate(made.values())}) if made else rows
+    dealt = dealt_in_order(valued, keys, order)
+    own = [f"_k{k}" for k in range(len(keys))]
+    totals = dealt.groupBy(*[F.col(c).alias(k) for c, k in zip(keys, own)], F.col("_part").alias("_p")).agg(F.count(F.lit(1)).alias("_n"), *[F.sum(f"_v{k}").alias(f"_t{k}") for k in range(len(made))])
+    before = Window.partitionBy(*own).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
+    ahead = totals.select(*own, "_p", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(c) for c in ["_n", *[f"_t{k}" for k in range(len(made))]]])
+    met = F.col("_part") == F.col("_p")
+    for c, k in zip(keys, own):
+        met = met & F.col(c).eqNullSafe(F.col(k))
+    within = Window.partitionBy(*keys, "_part").orderBy(*order)
+    upto = within.rowsBetween(Window.unboundedPreceding, 0)
+    found = dealt.join(ahead, met)
+    added = {name: F.col(f"_t{k}") + F.sum(f"_v{k}").over(upto) for k, name in enumerate(made)}
+    if place:
+        added[place] = (F.col("_n") + F.row_number().over(within)).cast("int")
+    return found.withColumns(added).drop("_part", "_p", "_n", *own, *[f"_{x}{k}" for k in range(len(made)) for x in "vt"])
+
+
+def ranked(rows: DataFrame, keys: Sequence[str], order: Sequence[Column], place: str = "rank") -> DataFrame:
+    """``running`` with the place alone."""
+    return running(rows, keys, order, place)
+
 
 def percentile_classes(rows: DataFrame, order: Sequence[Column], high: float = 0.15, medium: float = 0.5) -> DataFrame:
-    """Adds rank and class: HIGH to the ceiling of 15 % (at least 1), MEDIUM to that of 50 % (at least one more), then
-    LOW. The rows are a report's, one a topic; they meet in one task to be ranked."""
-    window, every = Window.orderBy(*order), Window.partitionBy()
-    n = F.count(F.lit(1)).over(every)
-    top = F.greatest(F.lit(1), F.ceil(n * high))
-    middle = F.greatest(top + 1, F.ceil(n * medium))
-    ranked = rows.withColumn("rank", F.row_number().over(window)).withColumns({"_top": top, "_middle": middle})
-    return ranked.withColumn("class", F.when(F.col("rank") <= F.col("_top"), "HIGH").when(F.col("rank") <= F.col("_middle"), "MEDIUM").otherwise("LOW")).drop("_top", "_middle")
+    """Adds rank and class: HIGH to the ceiling of 15 % (at least 1), MEDIUM to that of 50 % (at least one more), then LOW."""
+    rows = cut(rows)
+    n = rows.count()
+    top = max(1, math.ceil(n * high))
+    middle = max(top + 1, math.ceil(n * medium))
+    found = ranked(rows, [], order)
+    return found.withColumn("class", F.when(F.col("rank") <= top, "HIGH").when(F.col("rank") <= middle, "MEDIUM").otherwise("LOW"))
 
 
 def newest_versions(rows: DataFrame, keys: Sequence[str], date: str, pos: str) -> DataFrame:
@@ -30,9 +69,9 @@ def newest_versions(rows: DataFrame, keys: Sequence[str], date: str, pos: str) -
 def budget_prefix(rows: DataFrame, keys: Sequence[str], order: Sequence[Column], length: Column, budget: int, per_block: bool = False, joint: int = 2) -> DataFrame:
     """Ranked rows up to the first that would pass the budget; later ones that would fit do not follow. ``per_block``
     holds each length, with what joins it to the next, against the budget alone."""
-    window = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    fits = ~F.max(length + joint > budget).over(window) if per_block else F.sum(length).over(window) <= budget
-    return rows.withColumn("_fits", fits).where("_fits").drop("_fits")
+    counted = F.when(length + joint > budget, 1).otherwise(0) if per_block else length
+    found = running(rows, keys, order, sums={"_run": counted})
+    return found.where(F.col("_run") <= (0 if per_block else budget)).drop("_run")
 
 
 def forward_filled(rows: DataFrame, keys: Sequence[str], order: str, value: str, fallback: Column) -> DataFrame:
@@ -43,8 +82,7 @@ def forward_filled(rows: DataFrame, keys: Sequence[str], order: str, value: str,
 
 def first_exhausted(usage: DataFrame, provider: str, order: Sequence[str], cost: str, budget: float) -> DataFrame:
     """provider, spent, and the first event at which its running cost reaches the budget (null if never)."""
-    running = F.sum(cost).over(Window.partitionBy(provider).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    at = usage.withColumn("_run", running)
+    at = running(usage, [provider], [F.col(c) for c in order], sums={"_run": F.col(cost)})
     return at.groupBy(provider).agg(F.round(F.sum(cost), 6).alias("spent"), F.min(F.when(F.col("_run") >= budget, F.col(order[-1]))).alias("exhausted_at"))
 
 

@@ -79,8 +79,8 @@ def w10(t: Tables) -> DataFrame:
 def w11(t: Tables) -> DataFrame:
     joined = t.documents.select("doc_id", "source", "lang", "n_chars").join(t.labels, "doc_id", "left")
     first = F.when(F.col("lang") == "de", 0).when(F.col("lang") == "en", 1).otherwise(2)
-    order = Window.partitionBy("source").orderBy(first, F.coalesce("toxic", F.lit(0)).desc(), F.desc("n_chars"), "doc_id")
-    return joined.select("doc_id", "source", F.row_number().over(order).alias("place"))
+    order = [first, F.coalesce("toxic", F.lit(0)).desc(), F.desc("n_chars"), F.col("doc_id")]
+    return R.ranked(joined, ["source"], order, "place").select("doc_id", "source", "place")
 
 
 @query("w12_block_order", "SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY CASE WHEN o_orderstatus = 'P' THEN NULL ELSE year(o_orderdate) END DESC NULLS LAST, o_orderpriority, o_orderkey) AS place FROM orders")
@@ -91,8 +91,8 @@ def w12(t: Tables) -> DataFrame:
 
 @query("w13_ids", "SELECT doc_id, source || printf('_card_%06d', row_number() OVER (PARTITION BY source ORDER BY doc_id)) AS card_id FROM documents")
 def w13(t: Tables) -> DataFrame:
-    n = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))
-    return t.documents.select("doc_id", F.concat("source", F.format_string("_card_%06d", n)).alias("card_id"))
+    numbered = R.ranked(t.documents.select("source", "doc_id"), ["source"], [F.col("doc_id")], "n")
+    return numbered.select("doc_id", F.concat("source", F.format_string("_card_%06d", "n")).alias("card_id"))
 
 
 @query("w14_exhausted", "WITH r AS (SELECT event_type, event_id, value, sum(value) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS run FROM events) SELECT event_type, round(sum(value), 6) AS spent, min(event_id) FILTER (WHERE run >= 5000) AS exhausted_at FROM r GROUP BY 1")
@@ -119,7 +119,7 @@ def w16(t: Tables) -> DataFrame:
 def w17(t: Tables) -> DataFrame:
     rank = F.substring("o_orderpriority", 1, 1).cast("int")
     queue = t.orders.where(F.col("o_orderstatus").isin("F", "P") & (F.col("o_totalprice") > 200000))
-    return queue.select("o_orderkey", "o_orderstatus", F.row_number().over(Window.partitionBy("o_orderstatus").orderBy(rank, "o_orderkey")).alias("place"))
+    return R.ranked(queue, ["o_orderstatus"], [rank, F.col("o_orderkey")], "place").select("o_orderkey", "o_orderstatus", "place")
 
 
 @query("o1_due_cards", "SELECT user_id, ef, reps FROM (SELECT user_id, avg(event_id % 6) AS ef, count(*) AS reps, max(ts) AS last FROM events GROUP BY 1) WHERE last < TIMESTAMP '2024-01-31' ORDER BY ef, reps, user_id LIMIT 20")

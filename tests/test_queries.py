@@ -106,6 +106,23 @@ def test_chunks_by_hand(spark):
     assert [r["piece"] for r in extract.chunks(spark.createDataFrame([(few,)], "text string"), F.col("text")).orderBy("chunk").collect()] == ["p" * 200 + "\n\n" + "q" * 200, "r" * 200]
 
 
+def test_running_numbers_of_a_key_with_all_rows(spark):
+    rows = spark.range(5000).selectExpr("id", "cast(null as string) as k", "pmod(id * 7919, 5000) as o", "if(id % 5 = 0, null, id % 11) as v")
+    dealt = ranking.dealt_in_order(rows, ["k"], [F.col("o")])
+    assert dealt.select("_part").distinct().count() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    got = sorted((r["o"], r["n"], r["run"]) for r in ranking.running(rows, ["k"], [F.col("o")], "n", {"run": F.col("v")}).collect())
+    by_order = sorted((r["o"], r["v"] or 0) for r in rows.collect())
+    total, want = 0, []
+    for n, (o, v) in enumerate(by_order, 1):
+        total += v
+        want.append((o, n, total))
+    assert got == want
+    few = spark.createDataFrame([("a", 2, 1.5), ("b", 1, 2.5), ("a", 1, None), (None, 1, 1.0)], "k string, o int, v double")
+    got = {(r["k"], r["o"]): (r["n"], r["run"]) for r in ranking.running(few, ["k"], [F.desc("o")], "n", {"run": F.col("v")}).collect()}
+    assert got == {("a", 2): (1, 1.5), ("a", 1): (2, 1.5), ("b", 1): (1, 2.5), (None, 1): (1, 1.0)}
+    assert ranking.running(few.limit(0), ["k"], [F.col("o")], "n").count() == 0
+
+
 def test_tiered_match_loses_nothing(spark):
     blocks = [(i, f"k{i % 3}", f"what is the meaning of entry number {i} in the {'longer ' * (i % 5)}list?") for i in range(60)]
     asked = [(i, f"k{i % 3}", t.replace("meaning", "meanings") if i % 4 else t) for i, _, t in blocks] + [(100, "k0", "short?"), (101, "k1", "nothing of this kind is here at all")]
