@@ -28,8 +28,9 @@ def corpus(seed, letters="abcdé 日", n=70):
     return texts + ["", None, texts[0], texts[0]]
 
 
-@pytest.mark.parametrize("seed,least", [(1, 0.75), (2, 0.9), (3, 0.68), (4, 0.95)])
-def test_no_similar_pair_is_lost(spark, seed, least):
+@pytest.mark.parametrize("seed,least,few", [(1, 0.75, 0), (2, 0.9, 0), (3, 0.68, 2000), (4, 0.95, 2000), (2, 0.9, 2000)])
+def test_no_similar_pair_is_lost(spark, monkeypatch, seed, least, few):
+    monkeypatch.setattr(S, "FEW", few)  # both forms
     left, right = corpus(seed), corpus(seed)[::-1] + corpus(seed + 10)
     rows = spark.createDataFrame([(i, t, least) for i, t in enumerate(left)], "lid long, ltext string, least double")
     got = {(r["lid"], r["rtext"]): r["score"] for r in S.similar_pairs(rows, spark.createDataFrame([(t,) for t in right], "rtext string"), least).collect()}
