@@ -1,9 +1,13 @@
 """Nearest neighbours by largest inner product, with a vantage-point tree for each shard of the vectors.
 
-A further coordinate, the root of M^2 - |x|^2 with M the longest vector of the shard, gives all its vectors one length;
-then the largest inner product with a query is the smallest Euclidean distance, and the triangle inequality holds. A
-node splits its vectors at the median distance to one of them. A query goes down the nearer side and takes the other
-side too if the distance to the border is less than its k-th best distance divided by ``factor``; a factor of one misses nothing.
+A shard's vectors fall into bands of like length, a tree each: within a band the longest is at most ``BAND`` times the
+shortest. A further coordinate, the root of M^2 - |x|^2 with M the longest vector of the band, gives all its vectors one
+length; then the largest inner product with a query is the smallest Euclidean distance, and the triangle inequality
+holds. In narrow bands that coordinate is small, so distances stay far apart however widely lengths spread. A node splits
+its vectors at the median distance to one of them. A query goes down the nearer side and takes the other side too if the
+distance to the border is less than its k-th best distance divided by ``factor``; a factor of one misses nothing. Bands
+are taken from the longest down, and one is left out for the queries whose k-th best product no vector of its length can
+reach, which is exact at any factor.
 
 Every row is in the tree of its shard, every query goes to every shard, in blocks: a task holds one shard and one block.
 """
@@ -20,6 +24,7 @@ from pyspark.sql import functions as F
 from lektura.llm.common import cut
 
 LEAF = 64
+BAND = 1.1
 SHARD = 8192
 BLOCK = 1024
 NONE = np.iinfo(np.int64).max  # no neighbour
@@ -35,22 +40,28 @@ class VpTree:
         self.ids, self.x = ids[nth < keep], vectors[nth < keep]
         self.y = self.x / np.abs(self.x).max()  # distances are of scaled vectors, whose squares do not overflow
         norms = (self.y * self.y).sum(axis=1)
-        self.longest = norms.max()
-        self.extra = np.sqrt(np.maximum(self.longest - norms, 0))
+        below = np.log(norms.max() / np.maximum(norms, np.finfo(float).tiny)) / (2 * np.log(BAND))
+        band = np.floor(np.maximum(below, 0)).astype(int)
+        self.extra = np.zeros(len(norms))
         self.nodes: list[tuple] = []
+        self.bands: list[tuple[float, int]] = []  # square of the longest length, root
         self.rng = np.random.default_rng(seed)
-        self.root = self._build(np.arange(len(self.ids)))
+        for b in np.unique(band):
+            at = np.flatnonzero(band == b)
+            longest = norms[at].max()
+            self.extra[at] = np.sqrt(np.maximum(longest - norms[at], 0))
+            self.bands.append((longest, self._build(at, longest)))
         del self.rng
 
-    def _build(self, at: np.ndarray) -> int:
+    def _build(self, at: np.ndarray, longest: float) -> int:
         if len(at) > LEAF:
             vantage = int(self.rng.choice(at))
-            square = 2 * self.longest - 2 * (self.y[at] @ self.y[vantage] + self.extra[at] * self.extra[vantage])
+            square = 2 * longest - 2 * (self.y[at] @ self.y[vantage] + self.extra[at] * self.extra[vantage])
             distance = np.sqrt(np.maximum(square, 0))
             border = float(np.median(distance))
             near = distance <= border
             if near.any() and not near.all():
-                node = (vantage, border, self._build(at[near]), self._build(at[~near]))
+                node = (vantage, border, self._build(at[near], longest), self._build(at[~near], longest))
                 self.nodes.append(node)
                 return len(self.nodes) - 1
         self.nodes.append((at,))
@@ -65,10 +76,17 @@ class VpTree:
         self.best = np.full((len(ids), k), -np.inf)
         self.scaled = np.full((len(ids), k), -np.inf)
         self.found = np.full((len(ids), k), NONE)
-        self._visit(self.root, np.arange(len(ids)))
+        who = np.arange(len(ids))
+        for longest, root in self.bands:
+            most = np.sqrt(self.p2 * longest)
+            self._visit(root, who[self._worst(who) <= most + 1e-9 * (1 + most)], longest)
         return self.found, self.best
 
-    def _visit(self, node: int, who: np.ndarray) -> None:
+    def _worst(self, who: np.ndarray) -> np.ndarray:
+        """The k-th best product of scaled vectors, minus infinity where fewer are found."""
+        return np.where(self.found[who, -1] == NONE, -np.inf, self.scaled[who].min(axis=1))
+
+    def _visit(self, node: int, who: np.ndarray, longest: float) -> None:
         if not len(who):
             return
         if len(self.nodes[node]) == 1:
@@ -85,18 +103,17 @@ class VpTree:
             self.best[who], self.found[who], self.scaled[who] = (np.take_along_axis(x, order, axis=1) for x in (score, ids, scaled))
             return
         vantage, border, inner, outer = self.nodes[node]
-        distance = np.sqrt(np.maximum(self.p2[who] + self.longest - 2 * (self.p[who] @ self.y[vantage]), 0))
+        distance = np.sqrt(np.maximum(self.p2[who] + longest - 2 * (self.p[who] @ self.y[vantage]), 0))
         inside = distance <= border
-        self._visit(inner, who[inside])
-        self._visit(outer, who[~inside])
-        worst = np.where(self.found[who, -1] == NONE, -np.inf, self.scaled[who].min(axis=1))
-        reach = np.sqrt(np.maximum(self.p2[who] + self.longest - 2 * worst, 0)) / self.factor
+        self._visit(inner, who[inside], longest)
+        self._visit(outer, who[~inside], longest)
+        reach = np.sqrt(np.maximum(self.p2[who] + longest - 2 * self._worst(who), 0)) / self.factor
         cross = np.abs(distance - border) <= reach + 1e-9
-        self._visit(outer, who[inside & cross])
-        self._visit(inner, who[~inside & cross])
+        self._visit(outer, who[inside & cross], longest)
+        self._visit(inner, who[~inside & cross], longest)
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, factor: float = 1.5, id_col: str = "vec_id", vector_col: str = "embedding", shard_rows: int = SHARD, block_rows: int = BLOCK) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, factor: float = 1.3, id_col: str = "vec_id", vector_col: str = "embedding", shard_rows: int = SHARD, block_rows: int = BLOCK) -> DataFrame:
     """query_id, rank (from 1), id, score: for each query its k nearest found among ``vectors`` by largest inner product
     in double precision, its own id left out, ties to the smaller id; fewer if there are fewer.
 

@@ -429,7 +429,7 @@ def test_nearest(spark):
     rows += [(2000, None), (2001, [0.0] * 16), (2002, [1.0, None] + [0.0] * 14), (2003, [float("nan")] * 16), (2004, [1.0, 2.0]), (2005, [float("inf")] * 16)]
     table = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("id", F.lit("clash"))
     asked = table.where("vec_id % 20 = 0")
-    for factor, least in ((1.0, 1.0), (1.5, 0.9)):
+    for factor, least in ((1.0, 1.0), (1.3, 0.9), (1.5, 0.9)):
         found = defaultdict(list)
         for r in vptree.nearest(table, asked, k=10, factor=factor, shard_rows=200, block_rows=16).collect():
             found[r["query_id"]].append((r["rank"], r["vec_id"], r["score"]))
@@ -453,5 +453,34 @@ def test_nearest(spark):
     assert vptree.nearest(table.limit(0), table.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("sigma", [0.0, 0.3, 0.5, 1.0, None])
+def test_tree_recall_where_lengths_spread_or_cluster(sigma):
+    rng = np.random.default_rng(31)
+    x = rng.normal(size=(vptree.SHARD, 64))
+    if sigma is None:
+        x = rng.normal(size=(100, 64))[rng.integers(0, 100, len(x))] + 0.3 * x
+    else:
+        x *= np.exp(sigma * rng.normal(size=(len(x), 1))) / np.linalg.norm(x, axis=1, keepdims=True)
+    ids = np.arange(len(x))
+    asked = ids[ids % 40 == 0]
+    tree, score = vptree.VpTree(ids, x, 21), x[asked] @ x.T
+    score[np.arange(len(asked)), asked] = -np.inf
+    want = np.argsort(-score, axis=1, kind="stable")[:, :20]
+    for factor, least in ((1.0, 1.0), (1.3, 0.95)):
+        found, _ = tree.search(asked, x[asked], 20, factor)
+        assert np.mean([len(set(a) & set(b)) / 20 for a, b in zip(found, want)]) >= least
+
+
+def test_tree_of_tiny_zero_band_and_huge_lengths():
+    """Lengths whose squares underflow beside the longest share a last band; each is still found."""
+    rng = np.random.default_rng(32)
+    x = rng.normal(size=(600, 8)) * 10.0 ** rng.integers(-250, 150, size=(600, 1))
+    ids = np.arange(600)
+    tree = vptree.VpTree(ids, x, 600)
+    found, best = tree.search(ids[:20], x[:20], 599, 1.0)
+    for i in range(20):
+        assert sorted(found[i]) == [j for j in range(600) if j != i] and (np.diff(best[i]) <= 0).all()
+
+
 def test_rejects_nothing_by_name_only():
     assert packing.pieces_of(0, 1024) == [] and packing.pieces_of(1024, 1024) == [1024] and packing.pieces_of(2050, 1024) == [2, 1024, 1024]
