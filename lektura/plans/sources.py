@@ -146,3 +146,12 @@ def s15(t: Tables) -> DataFrame:
 @query("s16_loss_guard", "SELECT source, count(*) AS before, count(*) FILTER (WHERE n_chars >= 2000) AS after, CASE WHEN 1 - count(*) FILTER (WHERE n_chars >= 2000) / count(*) > 0.9 THEN 'fail' WHEN 1 - count(*) FILTER (WHERE n_chars >= 2000) / count(*) > 0.5 THEN 'warn' ELSE 'ok' END AS level FROM documents GROUP BY 1")
 def s16(t: Tables) -> DataFrame:
     return R.losses(t.documents, F.col("n_chars") >= 2000, "source")
+
+
+@query("s16_guarded_write", "SELECT source, count(*) AS docs, sum(n_chars) AS chars, (SELECT count(*) FROM documents) AS before, (SELECT count(*) FROM documents WHERE n_chars >= 200) AS after, (SELECT CASE WHEN count(*) FILTER (WHERE n_chars >= 200) < 0.5 * count(*) THEN 'warn' ELSE 'ok' END FROM documents) AS level FROM documents WHERE n_chars >= 200 GROUP BY 1")
+def s16_write(t: Tables) -> DataFrame:
+    """A stage that drops short documents, its counts taken as it writes; the next stage reads what was written."""
+    path = shared(t)
+    before, after, level = R.guarded_write(t.documents.select("source", "n_chars"), F.col("n_chars") >= 200, path)
+    kept = t.spark.read.parquet(path).groupBy("source").agg(F.count(F.lit(1)).alias("docs"), F.sum("n_chars").alias("chars"))
+    return kept.withColumns({"before": F.lit(before).cast("long"), "after": F.lit(after).cast("long"), "level": F.lit(level)})

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lektura.functions.text import filled
@@ -159,6 +159,17 @@ def guard_loss(before: int, after: int, fail: float = 0.9, warn: float = 0.5) ->
     return "warn" if share > warn else "ok"
 
 
+def guarded_write(rows: DataFrame, kept: Column, path: str, fail: float = 0.9, warn: float = 0.5) -> tuple[int, int, str]:
+    """Writes the rows that a stage keeps under ``path`` and returns how many there were, how many stayed, and ``ok`` or
+    ``warn``; where over ``fail`` were dropped it raises ``Lost``, and what lies under ``path`` is not to be used. The
+    counts come from the pass that writes. A condition that is null drops its row; of no rows none are lost."""
+    seen = Observation()
+    counted = rows.observe(seen, F.count(F.lit(1)).alias("before"), F.count(F.when(kept, 1)).alias("after"))
+    counted.where(kept).write.mode("errorifexists").parquet(path)
+    before, after = seen.get.get("before", 0), seen.get.get("after", 0)
+    return before, after, guard_loss(before, after, fail, warn)
+
+
 def losses(rows: DataFrame, kept: Column, key: str, fail: float = 0.9, warn: float = 0.5) -> DataFrame:
     """key, before, after, level: ``guard_loss`` for a filter's groups, without an error: ``fail``, ``warn`` or ``ok``."""
     counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("before"), F.count(F.when(kept, 1)).alias("after"))

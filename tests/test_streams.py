@@ -8,6 +8,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from lektura.sources import readers
 from lektura.streaming import running as R
 
 START = dt.datetime(2025, 3, 1)
@@ -108,3 +109,16 @@ def test_sessions_over_files_out_of_order_and_a_restart(spark, folder):
     want = [tuple(r) for r in R.sessions(spark.createDataFrame(times, schema), "card", "at", "30 minutes", right).collect()]
     assert sorted(found) == sorted(want)  # the session that is still open is not among them, the late review in none
     assert dropped == 1
+
+
+def test_a_guarded_write_counts_as_it_writes(spark, folder):
+    rows = spark.range(0, 100, 1, 3).withColumn("v", F.when(F.col("id") < 99, F.col("id")))
+    assert readers.guarded_write(rows, F.col("v") >= 20, f"{folder}/a") == (100, 79, "ok")
+    assert spark.read.parquet(f"{folder}/a").count() == 79
+    assert readers.guarded_write(rows, F.col("v") >= 89, f"{folder}/b") == (100, 10, "warn")
+    with pytest.raises(readers.Lost):
+        readers.guarded_write(rows, F.col("v") >= 90, f"{folder}/c")
+    assert readers.guarded_write(rows.limit(0), F.col("v") >= 90, f"{folder}/d") == (0, 0, "ok")
+    assert readers.guarded_write(spark.createDataFrame([], "v long"), F.col("v") >= 90, f"{folder}/e") == (0, 0, "ok")
+    with pytest.raises(Exception, match="PATH_ALREADY_EXISTS"):
+        readers.guarded_write(rows, F.col("v") >= 20, f"{folder}/a")
