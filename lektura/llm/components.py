@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lektura.llm.common import cut
+from lektura.llm.common import cut, written
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -14,7 +14,8 @@ def components(edges: DataFrame) -> DataFrame:
 
     Each round lets every node follow the least of itself and its neighbours, in an order drawn anew by hash, and
     merges the edges; node counts fall by a constant share a round, long chains included. A hub's neighbours are
-    pre-aggregated before the shuffle.
+    pre-aggregated before the shuffle. A round's edges are written as a table: the size that Spark expects of a checkpoint
+    would be the cube of the last round's, a number that soon fills the driver. Joins are by merging, for the same reason.
     """
     left = cut(edges.select("src", "dst").where("src <> dst").distinct())
     roots: DataFrame | None = None
@@ -25,14 +26,14 @@ def components(edges: DataFrame) -> DataFrame:
         order = F.xxhash64("dst", F.lit(turn))
         least = both.groupBy(F.col("src").alias("node")).agg(F.min_by("dst", order).alias("nb"), F.min(order).alias("rank"))
         own = F.xxhash64("node", F.lit(turn))
-        step = cut(least.select("node", F.when(F.col("rank") < own, F.col("nb")).otherwise(F.col("node")).alias("to")))
+        step = written(least.select("node", F.when(F.col("rank") < own, F.col("nb")).otherwise(F.col("node")).alias("to")))
         a, b = step.toDF("src", "a"), step.toDF("dst", "b")
-        left = cut(left.join(a, "src").join(b, "dst").where("a <> b").select(F.col("a").alias("src"), F.col("b").alias("dst")).distinct())
+        left = written(left.join(a.hint("merge"), "src").join(b.hint("merge"), "dst").where("a <> b").select(F.col("a").alias("src"), F.col("b").alias("dst")).distinct())
         if roots is None:
             roots = step.toDF("node", "root")
         else:
-            roots = roots.join(step.toDF("root", "to"), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
-    return cut(roots) if roots is not None else left.toDF("node", "root")
+            roots = roots.join(step.toDF("root", "to").hint("merge"), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
+    return written(roots) if roots is not None else left.toDF("node", "root")
 
 
 def lot_of(column: str) -> Column:
