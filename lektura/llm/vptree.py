@@ -5,8 +5,9 @@ shortest. A further coordinate, the root of M^2 - |x|^2 with M the longest vecto
 length; then the largest inner product with a query is the smallest Euclidean distance, and the triangle inequality
 holds. In narrow bands that coordinate is small, so distances stay far apart however widely lengths spread. A node splits
 its vectors at the median distance to one of them. A query goes down the nearer side and takes the other side too if the
-distance to the border is less than its k-th best distance divided by ``factor``; a factor of one misses nothing. Bands
-are taken from the longest down, and one is left out for the queries whose k-th best product no vector of its length can
+distance to the border is less than its k-th best distance divided by ``factor``. A factor of one, the default, misses
+nothing; a larger one misses what lies just across a border, which in tight clusters may be nearly half. Bands are
+taken from the longest down, and one is left out for the queries whose k-th best product no vector of its length can
 reach, which is exact at any factor.
 
 Every row is in the tree of its shard, every query goes to every shard, in blocks: a task holds one shard and one block.
@@ -103,19 +104,22 @@ class VpTree:
             self.best[who], self.found[who], self.scaled[who] = (np.take_along_axis(x, order, axis=1) for x in (score, ids, scaled))
             return
         vantage, border, inner, outer = self.nodes[node]
-        distance = np.sqrt(np.maximum(self.p2[who] + longest - 2 * (self.p[who] @ self.y[vantage]), 0))
+        squares = self.p2[who] + longest
+        slack = np.sqrt(4e-16 * self.y.shape[1] * squares)  # what rounding of a square may add to a distance near zero
+        distance = np.sqrt(np.maximum(squares - 2 * (self.p[who] @ self.y[vantage]), 0))
         inside = distance <= border
         self._visit(inner, who[inside], longest)
         self._visit(outer, who[~inside], longest)
-        reach = np.sqrt(np.maximum(self.p2[who] + longest - 2 * self._worst(who), 0)) / self.factor
-        cross = np.abs(distance - border) <= reach + 1e-9
+        reach = np.sqrt(np.maximum(squares - 2 * self._worst(who), 0)) / self.factor
+        cross = np.abs(distance - border) <= reach + 3 * slack
         self._visit(outer, who[inside & cross], longest)
         self._visit(inner, who[~inside & cross], longest)
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, factor: float = 1.3, id_col: str = "vec_id", vector_col: str = "embedding", shard_rows: int = SHARD, block_rows: int = BLOCK) -> DataFrame:
-    """query_id, rank (from 1), id, score: for each query its k nearest found among ``vectors`` by largest inner product
-    in double precision, its own id left out, ties to the smaller id; fewer if there are fewer.
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, factor: float = 1.0, id_col: str = "vec_id", vector_col: str = "embedding", shard_rows: int = SHARD, block_rows: int = BLOCK) -> DataFrame:
+    """query_id, rank (from 1), id, score: for each query its k nearest among ``vectors`` by largest inner product in
+    double precision, its own id left out, ties to the smaller id; fewer if there are fewer. Exact unless ``factor`` is
+    over one.
 
     Vectors that are null, zero, or hold a null or a component that is not finite take no part on either side, nor do
     rows of a null id; vectors meet those of their own number of components only. Of rows that repeat an id the smallest

@@ -482,5 +482,18 @@ def test_tree_of_tiny_zero_band_and_huge_lengths():
         assert sorted(found[i]) == [j for j in range(600) if j != i] and (np.diff(best[i]) <= 0).all()
 
 
+def test_nearest_misses_nothing_in_tight_clusters(spark):
+    rng = np.random.default_rng(33)
+    for clusters, spread in ((10, 0.05), (3, 1e-7)):
+        x = rng.normal(size=(clusters, 16))[np.arange(3000) % clusters] + spread * rng.normal(size=(3000, 16))
+        table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+        asked = np.arange(0, 3000, 20)
+        score = np.einsum("qd,xd->qx", x[asked], x)
+        score[np.arange(len(asked)), asked] = -np.inf
+        want = np.lexsort((np.broadcast_to(np.arange(3000), score.shape), -score), axis=-1)[:, :20]
+        got = vptree.nearest(table, table.where("vec_id % 20 = 0")).orderBy("query_id", "rank").toPandas()
+        assert (got["vec_id"].to_numpy().reshape(-1, 20) == want).all()
+
+
 def test_rejects_nothing_by_name_only():
     assert packing.pieces_of(0, 1024) == [] and packing.pieces_of(1024, 1024) == [1024] and packing.pieces_of(2050, 1024) == [2, 1024, 1024]
