@@ -71,6 +71,18 @@ def test_no_contained_pair_is_lost(spark, seed):
     assert len(got) == len(set(got)) and {tuple(r) for r in got} == want and len(want) > len(small)
 
 
+def test_keys_of_long_contained_texts_are_few():
+    rng = random.Random(3)
+    text = "".join(rng.choice(("ab", "the ", "ion", "re", "in ", "at")) for _ in range(2000))
+    for k, (size, _) in enumerate(S.SIZES):
+        held = set(S.minimizers(text, [k]).tolist())
+        at = rng.randrange(len(text) - size)
+        own = S.minimizers(text[at : at + size], [k])
+        assert len(own) and set(own.tolist()) <= held and (size < 48 or len(held) < len(text) / 12)
+    for size in (1, 3, 10):
+        assert len(S._all_stretches(text, [size])) == len({text[i : i + size] for i in range(len(text) - size + 1)})
+
+
 def test_no_key_is_constant(spark):
     rows = spark.createDataFrame([(1, "some text of length", 0.9)], "lid long, ltext string, least double")
     for plan in (S.similar_pairs(rows, rows.select(F.col("ltext").alias("rtext")), 0.9), S.contained_pairs(rows.select(F.col("lid").alias("sid"), F.col("ltext").alias("stext")), rows.select("lid", "ltext"))):
