@@ -60,9 +60,13 @@ def consume_once(left: DataFrame, right: DataFrame, keys: Sequence[str], left_or
 
 
 def two_sided_difference(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
-    """key, side: keys of one side only."""
-    only = lambda a, b, side: a.select(key).join(b, key, "left_anti").distinct().withColumn("side", F.lit(side))
-    return only(left, right, "left").union(only(right, left, "right"))
+    """key, side: keys of one side only; a null key equals none, so it is of each side that has one. One aggregation: rows
+    are reduced to a key in the task, and no table of keys is built."""
+    both = left.select(key, F.lit(True).alias("_left")).union(right.select(key, F.lit(False)))
+    sides = both.groupBy(key).agg(F.bool_or("_left").alias("_l"), F.bool_and("_left").alias("_r"))
+    one = F.col(key).isNull() | (F.col("_l") == F.col("_r"))
+    side = F.when(F.col("_l") & one, "left"), F.when(~F.col("_r") & one, "right")
+    return sides.select(key, F.explode(F.array_compact(F.array(*side))).alias("side"))
 
 
 def shared_parts(left: DataFrame, right: DataFrame, least: int = 2, longer: int = 3) -> DataFrame:

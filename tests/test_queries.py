@@ -287,3 +287,14 @@ def test_exam_items_and_trimmed_chunks(spark):
     long = "0 " + "w" * 300
     pieces = [r["piece"] for r in extract.chunks(spark.createDataFrame([(f" {long} \n\n{long}1 ",)], "text string"), F.col("text")).orderBy("chunk").collect()]
     assert pieces == [long, long + "1"]
+
+
+def test_two_sided_difference_reduces_keys_before_any_shuffle(spark):
+    from lektura.operators.joins import two_sided_difference
+
+    a = spark.createDataFrame([("x",), ("x",), ("y",), (None,), (None,)], "k string")
+    b = spark.createDataFrame([("y",), ("z",), ("z",), (None,)], "k string")
+    got = two_sided_difference(a, b, "k")
+    assert sorted(map(tuple, got.collect()), key=str) == [("x", "left"), ("z", "right"), (None, "left"), (None, "right")]
+    assert two_sided_difference(a.limit(0), b, "k").count() == 3 and two_sided_difference(a, b.limit(0), "k").count() == 3
+    assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
