@@ -16,6 +16,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 LANE = 512
+AT_ONCE = 2 << 20  # bytes of texts scanned together
 HITS = "array<struct<rule:int,n:int,at:int>>"
 LABELS = "array<struct<label:int,score:double,kinds:int,n:int,at:int,best:int>>"
 _WORD: list[np.ndarray] = []  # per worker: whether a code point is part of a word
@@ -204,13 +205,24 @@ def elements_hit(texts: Column, patterns: Sequence[str], whole: Sequence[bool] |
     return _column(texts, patterns, whole, "array<boolean>", look)
 
 
+def _parts(texts: pa.Array) -> list[tuple[int, int]]:
+    """Stretches of a batch of about ``AT_ONCE`` bytes, one at least: a scan holds many times the bytes of its texts."""
+    if pa.types.is_list(texts.type) or pa.types.is_large_list(texts.type):
+        size = np.full(len(texts), texts.nbytes / max(len(texts), 1))
+    else:
+        size = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+    part = np.cumsum(size) // AT_ONCE
+    begins = np.append(0, np.flatnonzero(part[1:] != part[:-1]) + 1)
+    return list(zip(begins.tolist(), [*begins[1:].tolist(), len(texts)]))
+
+
 def _column(text: Column, patterns: Sequence[str], whole: Sequence[bool] | None, kind: str, look: Callable[[Automaton, pa.Array], pa.Array]) -> Column:
     if not patterns:
         return F.when(text.isNotNull(), F.array().cast(kind))
     automaton = Automaton(patterns, whole)
 
     def find(texts: pa.Array) -> pa.Array:
-        return look(automaton, texts)
+        return pa.concat_arrays([look(automaton, texts.slice(begin, end - begin)) for begin, end in _parts(texts)])
 
     find.__annotations__ = {"texts": pa.Array, "return": pa.Array}
     return F.arrow_udf(find, kind)(text)

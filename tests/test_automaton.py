@@ -57,3 +57,14 @@ def test_column(spark):
     found = {r["id"]: r["h"] and [tuple(x) for x in r["h"]] for r in rows.select("id", pattern_hits(rows["text"], ["the", "other"], [True, False]).alias("h")).collect()}
     assert found == {1: [(0, 1, 0), (1, 1, 4)], 2: None, 3: [], 4: [(0, 1, 6), (1, 1, 0)]}
     assert rows.select(pattern_hits(rows["text"], []).alias("h")).where("size(h) = 0").count() == 3
+
+
+def test_a_batch_is_scanned_in_parts(spark):
+    from lektura.functions import automaton as A
+
+    texts = pa.array(["ab" * 300_000, None, "", "x ab", *["abc " * 100] * 9000])
+    parts = A._parts(texts)
+    assert len(parts) >= 3 and [b for b, _ in parts[1:]] == [e for _, e in parts[:-1]] and parts[0][0] == 0 and parts[-1][1] == len(texts)
+    made = A.Automaton(["ab", "bc", "c a"])
+    assert pa.concat_arrays([made.hits(texts.slice(b, e - b)) for b, e in parts]).equals(made.hits(texts))
+    assert A._parts(pa.array([], pa.string())) == [(0, 0)] and A._parts(pa.array([["a"], None, []])) == [(0, 3)]
