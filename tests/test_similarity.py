@@ -71,6 +71,14 @@ def test_no_contained_pair_is_lost(spark, seed):
     assert len(got) == len(set(got)) and {tuple(r) for r in got} == want and len(want) > len(small)
 
 
+def test_lengths_that_allow_a_ratio(spark):
+    rows = spark.createDataFrame([(10, 0.8), (11, 0.8), (100, 0.9), (None, 0.9)], "n int, least double").where("n is not null")
+    texts = spark.createDataFrame([("a" * n,) for n in range(1, 200)] + [(None,)], "t string")
+    got = {len(r["t"]) for r in texts.where(S.like_length("t", rows, "n", "least")).collect()}
+    assert got == {m for m in range(1, 200) for n, x in ((10, 0.8), (11, 0.8), (100, 0.9)) if 2 * min(m, n) >= x * (m + n) - 1e-9}
+    assert texts.where(S.like_length("t", rows.limit(0), "n", "least")).count() == 0
+
+
 def test_keys_of_long_contained_texts_are_few():
     rng = random.Random(3)
     text = "".join(rng.choice(("ab", "the ", "ion", "re", "in ", "at")) for _ in range(2000))
