@@ -62,6 +62,13 @@ def cosine_top_k(queries: DataFrame, kb: DataFrame, k: int = 10, least: float |
     return raw.where(F.col("raw") >= least).withColumn("rank", rank).where(F.col("rank") <= k).select("qid", "id", "tier", F.round(F.least(F.col("raw"), F.lit(1.0)), 6).alias("score"), "rank")
 
 
+def first_of_rows(score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k greatest scores of each row, to nine digits, ties to the smaller id; sorted a few rows at a time, so
+    that sorting holds little beside the scores."""
+    parts = [score[i : i + 32] for i in range(0, len(score), 32)]
+    return np.concatenate([np.lexsort((np.broadcast_to(ids, x.shape), -np.round(x, 9)), axis=-1)[:, :k].copy() for x in parts])
+
+
 def _by_blocks(asked: DataFrame, held: DataFrame, k: int, boost: float) -> DataFrame:
     """qid, id, tier, raw: of each pair of blocks the k nearest of each query."""
     nq, nv = (max(1, -(-rows.count() // size)) for rows, size in ((asked, QUERY_BLOCK), (held, KB_BLOCK)))
@@ -76,7 +83,7 @@ def _by_blocks(asked: DataFrame, held: DataFrame, k: int, boost: float) -> DataF
             return pd.DataFrame(columns=schema.names)
         score = np.stack(queries["q"].to_numpy()) @ np.stack(vectors["v"].to_numpy()).T * np.where(vectors["tier"] == 1, boost, 1.0)
         ids = vectors["id"].to_numpy()
-        order = np.lexsort((np.broadcast_to(ids, score.shape), -np.round(score, 9)), axis=-1)[:, :k]
+        order = first_of_rows(score, ids, k)
         return pd.DataFrame({"qid": np.repeat(queries["qid"].to_numpy(), order.shape[1]), "id": ids[order.ravel()], "tier": vectors["tier"].to_numpy()[order.ravel()], "raw": np.take_along_axis(score, order, axis=1).ravel()})
 
     by = ("dim", "qb", "vb")

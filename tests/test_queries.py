@@ -298,3 +298,21 @@ def test_two_sided_difference_reduces_keys_before_any_shuffle(spark):
     assert sorted(map(tuple, got.collect()), key=str) == [("x", "left"), ("z", "right"), (None, "left"), (None, "right")]
     assert two_sided_difference(a.limit(0), b, "k").count() == 3 and two_sided_difference(a, b.limit(0), "k").count() == 3
     assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_first_of_rows_sorts_in_little_memory():
+    import tracemalloc
+
+    import numpy as np
+
+    from lektura.operators.retrieval import first_of_rows
+
+    rng = np.random.default_rng(4)
+    score, ids = np.round(rng.random((512, 2048)), 2), rng.permutation(2048)
+    want = np.lexsort((np.broadcast_to(ids, score.shape), -np.round(score, 9)), axis=-1)[:, :10]
+    tracemalloc.start()
+    assert (first_of_rows(score, ids, 10) == want).all()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    print(peak, score.nbytes)
+    assert peak < score.nbytes / 2
