@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline as pipeline
+from lektura.llm import near_copies
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -90,6 +91,18 @@ def test_near_dedup_stage(spark):
     assert got == sorted([(i, texts[i]) for i in set(root)], key=str)
 
 
+def test_near_dedup_takes_simhash_first_and_few_comparisons(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    own = [f"w{x}" for x in rng.integers(0, 10**9, 400)]
+    edited = lambda n: " ".join("x" + str(rng.integers(10**9)) if i in at else w for at in [set(rng.choice(400, n, replace=False).tolist())] for i, w in enumerate(own))
+    texts = [" ".join(own)] + [edited(1 + i % 3) for i in range(249)]
+    asked, verify = [], near_copies._linked
+    monkeypatch.setattr(near_copies, "_linked", lambda pairs, *rest: asked.append(pairs.count()) or verify(pairs, *rest))
+    assert kept(pipeline.near_dedup(spark, documents(spark, [(i, t, "s") for i, t in enumerate(texts)]), "")) == [(0, texts[0])]
+    assert 100 < asked[0] < 250  # of SimHash: a comparison a member
+    assert sum(asked) < 6 * len(texts)
+
+
 @pytest.mark.parametrize("source", ["s", None])
 def test_near_dedup_stage_decides_by_row(spark, source):
     rows = [(1, "T t", source), (2, "T t", source), (None, "T t", source), (None, "U", source), (2, "W", source), (3, "W", "other"), (4, "X", source), (4, "X", "other"), (4, "X", source), (None, None, None), (None, "", None)]
