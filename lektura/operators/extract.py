@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -170,3 +171,12 @@ def exam_score(question: Column, items: Column, has_data: Column, has_kind: Colu
     points = F.when(F.length(question) > 10, 1.0).otherwise(0.0) + F.when(F.size(items) > 0, 1.0).otherwise(0.0) + F.when(F.size(items) >= 3, 0.5).otherwise(0.0)
     points = points + F.when((F.size(items) > 0) & (mean > 20), 0.5).otherwise(0.0) + F.when(has_data, 0.5).otherwise(0.0) + F.when(has_kind, 0.5).otherwise(0.0)
     return (points + F.when((F.length(question) > 50) & (F.length(question) < 1000), 1.0).otherwise(0.0)) / 5
+
+
+def around(text: Column, word: str, reach: int) -> Column:
+    """The stretches that ``.{0,reach}word.{0,reach}`` finds from left to right, within lines, which end at a line feed only.
+    What lies further from the word than it reaches is taken out first: the pattern tries ``reach`` places at each
+    character, so it only runs over as many characters around each word."""
+    keep = lambda x: F.when(F.length(x) > 2 * reach, F.concat(F.left(x, F.lit(reach)), F.lit("\n"), F.right(x, F.lit(reach)))).otherwise(x)
+    near = F.array_join(F.transform(F.split(text, re.escape(word)), keep), word)
+    return F.regexp_extract_all(near, F.lit(rf"[^\n]{{0,{reach}}}{re.escape(word)}[^\n]{{0,{reach}}}"), F.lit(0))

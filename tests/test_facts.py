@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from lektura import plans
 from lektura.operators import extract as E
 from lektura.operators import facts
 
@@ -42,3 +46,15 @@ def test_paths_of_a_chain_with_cycles_beside(spark):
     assert set(got) == {*range(600), 2000}
     assert got[599]["depth"] == 599 and got[599]["path"] == " > ".join(f"n{k}" for k in range(600)) and got[599]["place"] == [k % 3 for k in range(600)]
     assert got[2000]["path"] == "n0 > n1 > n2 > n3 > side" and got[2000]["place"] == [0, 1, 2, 0, 7]
+
+
+def test_stretches_around_a_word(spark):
+    rng = np.random.default_rng(4)
+    texts = ["".join(rng.choice(["Licensed", "x", "\r", " ", "\n", "é", "y" * 45, "z" * 250], 30)) for _ in range(200)] + ["", "Licensed", "LicensedLicensed", None]
+    got = [r["x"] for r in spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string").select("k", E.around(F.col("t"), "Licensed", 100).alias("x")).orderBy("k").collect()]
+    assert got == [None if t is None else re.findall(r"[^\n]{0,100}Licensed[^\n]{0,100}", t) for t in texts]
+
+
+def test_claims_go_over_all_but_line_feeds(spark, tmp_path):
+    spark.createDataFrame([(1, "by\rLicensed under terms\nno")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert [tuple(r) for r in plans.QUERIES["x18_claims"](spark, str(tmp_path)).collect()] == [(1, "by\rLicensed under terms")]
