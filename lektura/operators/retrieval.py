@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
+from lektura.functions.automaton import pattern_hits
 from lektura.functions.text import words
+from lektura.operators.joins import ranked_matches
 from lektura.operators.ranking import budget_prefix
 
 QUERIES_TO_BROADCAST = 100_000
+PATTERNS = 5_000  # words that one scan looks for
 QUERY_BLOCK, KB_BLOCK = 1024, 8192
 
 
@@ -32,6 +35,43 @@ def shared_words(queries: DataFrame, docs: DataFrame, least: int = 2, k: int = 5
     return scores.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+def held_words(asked: DataFrame, docs: DataFrame, weights: Sequence[float], over: float, k: int) -> DataFrame:
+    """qid, id, score, rank: the k documents (id, t) over the score ``over`` of each query (qid, w0, w1 ...), which is the sum of
+    the weights of those of its words that stand in the text, ties to the smaller id. An empty word stands in every text.
+
+    Up to ``PATTERNS`` words of the queries are looked for in one scan of a text, and a task passes on the k first documents of
+    each query and batch, so pairs are not shuffled. More queries are compared with each document."""
+    order = [F.desc("score"), F.col("id")]
+    names = [f"w{i}" for i in range(len(weights))]
+    few = asked.limit(PATTERNS // len(names) + 1).collect()
+    if len(few) > PATTERNS // len(names):
+        score = sum((F.contains("t", F.col(w)).cast("int") * x for w, x in zip(names, weights)), F.lit(0.0))
+        pairs = docs.crossJoin(F.broadcast(asked) if asked.limit(QUERIES_TO_BROADCAST + 1).count() <= QUERIES_TO_BROADCAST else asked)
+        return ranked_matches(pairs.withColumn("score", F.round(score, 6)).where(F.col("score") > over).select("qid", "id", "score"), "qid", order, k)
+    patterns = sorted({r[w] for r in few for w in names} - {""})
+    place = {w: i for i, w in enumerate(patterns)} | {"": len(patterns)}
+    of = np.array([[place[r[w]] for w in names] for r in few], np.int64).reshape(-1, len(names))
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            batch = batch.sort_values("id", kind="stable")  # equal scores then stand by id
+            for at in range(0, len(batch) if len(of) else 0, 1000):
+                part = batch.iloc[at : at + 1000]
+                held = np.zeros((len(part), len(patterns) + 1), bool)
+                held[:, -1] = True
+                rules = [np.asarray(x, np.int64) for x in part["rules"]]
+                held[np.repeat(np.arange(len(part)), [len(x) for x in rules]), np.concatenate(rules)] = True
+                score = np.round(sum((held[:, of[:, i]] * x for i, x in enumerate(weights)), np.zeros((len(part), len(of)))), 6)
+                first = np.argsort(-score, axis=0, kind="stable")[:k]
+                found = np.take_along_axis(score, first, axis=0)
+                yield pd.DataFrame({"q": np.tile(np.arange(len(of)), len(first)), "id": part["id"].to_numpy()[first.ravel()], "score": found.ravel()})[found.ravel() > over]
+
+    rules = F.transform(pattern_hits(F.col("t"), patterns), lambda x: x["rule"]) if patterns else F.array().cast("array<int>")
+    best = docs.where("t is not null and id is not null").select("id", rules.alias("rules")).mapInPandas(each, f"q int, id {docs.schema['id'].dataType.simpleString()}, score double")
+    numbered = docs.sparkSession.createDataFrame([(i, r["qid"]) for i, r in enumerate(few)], StructType([StructField("q", IntegerType()), asked.schema["qid"]]))
+    return ranked_matches(best.join(F.broadcast(numbered), "q").select("qid", "id", "score"), "qid", order, k)
+
+
 def unit(vector: Column) -> Column:
     """The vector in doubles at length one; null where it has none."""
     v = vector.cast("array<double>")

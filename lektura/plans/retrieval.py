@@ -61,14 +61,10 @@ def r3(t: Tables) -> DataFrame:
 @query("r6_topic_knowledge", r"""WITH d AS (SELECT doc_id, lang, source, lower(text) AS t FROM documents), s AS (SELECT b.item_id AS qid, d.doc_id AS id, 0.5 * CAST(contains(d.t, lower(split_part(b.text, ' ', 1))) AS INT) + 0.2 * CAST(contains(d.t, lower(split_part(b.text, ' ', 2))) AS INT) + 0.15 * CAST(contains(d.t, lower(split_part(b.text, ' ', 3))) AS INT) AS score FROM benchmark b, d)
     SELECT qid, id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 6) DESC, id) AS rank FROM s WHERE score > 0.1) WHERE rank <= 3""")
 def r6(t: Tables) -> DataFrame:
-    from lektura.operators.joins import ranked_matches
-
     parts = F.split(F.lower("text"), " ")
-    asked = t.benchmark.select(F.col("item_id").alias("qid"), *[F.coalesce(F.get(parts, i), F.lit("")).alias(f"w{i}") for i in range(3)])
+    asked = t.benchmark.where("text is not null").select(F.col("item_id").alias("qid"), *[F.coalesce(F.get(parts, i), F.lit("")).alias(f"w{i}") for i in range(3)])
     docs = t.documents.select(F.col("doc_id").alias("id"), F.lower("text").alias("t"))
-    score = sum((F.contains("t", F.col(f"w{i}")).cast("int") * w for i, w in enumerate((0.5, 0.2, 0.15))), F.lit(0.0))
-    pairs = docs.crossJoin((F.broadcast(asked) if asked.limit(100_001).count() <= 100_000 else asked)).withColumn("score", F.round(score, 6)).where("score > 0.1")
-    return ranked_matches(pairs.select("qid", "id", "score"), "qid", [F.desc("score"), F.col("id")], 3)
+    return R.held_words(asked, docs, (0.5, 0.2, 0.15), 0.1, 3).select("qid", "id", "score", "rank")
 
 
 @query("r7_keyword_scan", f"{LEXICAL_SQL} SELECT qid, id, score FROM k WHERE rank <= 3")
