@@ -8,12 +8,13 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
+from pyspark.sql.types import DoubleType, IntegerType, LongType, StructField, StructType
 
 from lektura.functions.automaton import pattern_hits
 from lektura.functions.text import words
 from lektura.operators.joins import ranked_matches
 from lektura.operators.ranking import budget_prefix
+from lektura.session import cut
 
 QUERIES_TO_BROADCAST = 100_000
 PATTERNS = 5_000  # words that one scan looks for
@@ -22,17 +23,50 @@ QUERY_BLOCK, KB_BLOCK = 1024, 8192
 
 def shared_words(queries: DataFrame, docs: DataFrame, least: int = 2, k: int = 5, stop: Sequence[str] = ()) -> DataFrame:
     """qid, id, score, rank: the k documents (id, text) that share most different words with each query (qid, text),
-    ties to the smaller id; ``least`` shared words at least.
+    ties to the smaller id; ``least`` shared words at least. Rows of one id count together.
 
-    The words of the queries are broadcast while they are few, so documents are scanned once and only matches are
-    shuffled; a frequent word costs a row for each document and query that have it, pre-aggregated by pair in the task.
+    The words of the queries go to every task while they are few: it counts those that each document shares with each query and
+    passes on the k first documents of each query and batch, so neither pairs nor their counts are gathered. Rows that
+    repeat an id, and all rows where the words are many, are counted by a join.
     """
     asked = queries.select("qid", F.explode(words(F.col("text"), stop=tuple(stop))).alias("word"))
-    side = F.broadcast(asked) if asked.limit(QUERIES_TO_BROADCAST + 1).count() <= QUERIES_TO_BROADCAST else asked
-    held = docs.select("id", F.explode(words(F.col("text"), stop=tuple(stop))).alias("word"))
-    scores = held.join(side, "word").groupBy("qid", "id").agg(F.count(F.lit(1)).alias("score")).where(F.col("score") >= least)
-    rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "id"))
-    return scores.withColumn("rank", rank).where(F.col("rank") <= k)
+    of = lambda rows: rows.select("id", words(F.col("text"), stop=tuple(stop)).alias("words"))
+    counted = lambda rows: of(rows).select("id", F.explode("words").alias("word")).join(asked, "word").groupBy("qid", "id").agg(F.count(F.lit(1)).alias("score")).where(F.col("score") >= least)
+    few = asked.limit(QUERIES_TO_BROADCAST + 1).collect()
+    if len(few) > QUERIES_TO_BROADCAST:
+        return ranked_matches(counted(docs), "qid", [F.desc("score"), F.col("id")], k)
+    again = cut(docs.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 or id is null").select(F.col("id").alias("_id")))
+    met = F.col("id").eqNullSafe(F.col("_id"))
+    scores = _counted_in_tasks(few, of(docs.join(again, met, "left_anti")), least, k, StructType([asked.schema["qid"], docs.schema["id"], StructField("score", LongType())]))
+    if not again.isEmpty():
+        scores = scores.union(counted(docs.join(again, met, "left_semi")).select("qid", "id", "score"))
+    return ranked_matches(scores, "qid", [F.desc("score"), F.col("id")], k)
+
+
+def _counted_in_tasks(asked: Sequence, docs: DataFrame, least: int, k: int, schema: StructType) -> DataFrame:
+    """qid, id, score: of each batch of ``docs`` (id, words) the k first documents of each query of ``asked``, rows of qid and word."""
+    qids = list(dict.fromkeys(r["qid"] for r in asked))
+    number, lists = {q: i for i, q in enumerate(qids)}, {}
+    for r in asked:
+        lists.setdefault(r["word"], []).append(number[r["qid"]])
+    lists = {w: np.array(x, np.int64) for w, x in lists.items()}
+    rows = max(1, 1_000_000 // max(1, len(qids)))
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            batch = batch.sort_values("id", kind="stable")  # equal scores then stand by id
+            for at in range(0, len(batch) if qids else 0, rows):
+                part = batch.iloc[at : at + rows]
+                score = np.zeros((len(part), len(qids)), np.int64)
+                for n, held in enumerate(part["words"]):
+                    if found := [lists[w] for w in held if w in lists]:
+                        score[n] = np.bincount(np.concatenate(found), minlength=len(qids))
+                first = np.argsort(-score, axis=0, kind="stable")[:k]
+                best = np.take_along_axis(score, first, axis=0).ravel()
+                kept = best >= least
+                yield pd.DataFrame({"qid": [qids[q] for q in np.tile(np.arange(len(qids)), len(first))[kept]], "id": part["id"].to_numpy()[first.ravel()][kept], "score": best[kept]})
+
+    return docs.where("words is not null").mapInPandas(each, schema)
 
 
 def held_words(asked: DataFrame, docs: DataFrame, weights: Sequence[float], over: float, k: int) -> DataFrame:

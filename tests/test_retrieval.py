@@ -30,3 +30,25 @@ def test_topic_knowledge_against_all_pairs(spark, tmp_path, monkeypatch):
     assert "NestedLoop" not in run()._jdf.queryExecution().executedPlan().toString()
     monkeypatch.setattr(R, "PATTERNS", 3)  # the form for many queries
     assert {tuple(r) for r in run().collect()} == want
+
+
+def test_shared_words_against_all_pairs(spark, tmp_path):
+    rng = np.random.default_rng(7)
+    some = [f"w{x}" for x in range(12)]
+    text = lambda: " ".join(rng.choice(some, rng.integers(0, 8)))
+    rows, items = [(int(rng.integers(0, 250)), text()) for _ in range(300)] + [(900, None)], [(i, text()) for i in range(30)] + [(50, None)]
+    tables(spark, tmp_path, rows, items)
+    want = set()
+    for q, asked in items:
+        count = {}
+        for i, t in rows:
+            count[i] = count.get(i, 0) + len(set((asked or "").split()) & set((t or "").split()))
+        want |= {(q, i, -s, n + 1) for n, (s, i) in enumerate(sorted((-s, i) for i, s in count.items())[:5]) if -s >= 2}
+    run = plans.QUERIES["r4_lexical_top_k"](spark, str(tmp_path))
+    assert {tuple(r) for r in run.select("qid", "id", "score", "rank").collect()} == want
+    few = R.shared_words(run.select("qid", "id").limit(0).selectExpr("qid", "'w1 w2' text"), run.selectExpr("id", "'w1 w2' text").distinct())
+    assert few.count() == 0
+    alone = spark.createDataFrame([(i, "w1 w2 w3") for i in range(50)], "id long, text string")
+    asked = spark.createDataFrame([(1, "w1 w2 w3")], "qid long, text string")
+    plan = R.shared_words(asked, alone)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInPandas" in plan and "Generate" not in plan  # no row for each word that a document and a query have
