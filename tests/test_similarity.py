@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from lektura import plans
 from lektura.functions import text as X
+from lektura.operators import joins as J
 from lektura.operators import similarity as S
 
 
@@ -155,3 +156,26 @@ def test_three_tiers_against_all_pairs(spark):
         near = [(-r, d["doc_id"]) for d in held if d["k"] and (r := ratio(q["k"], d["k"], 0.92)) >= 0.92]
         want = (min(exact), "exact") if exact else (min(plain), "plain") if plain else (min(near)[1], "fuzzy") if near else (None, "none")
         assert got[q["item_id"]] == want
+
+
+@pytest.mark.parametrize("patterns", [0, 5_000])
+def test_contained_texts_by_keys_and_by_one_scan(spark, monkeypatch, patterns):
+    monkeypatch.setattr(S, "PATTERNS", patterns)
+    large = corpus(7, "ab cé")
+    small = [t[3 : 3 + n] for n, t in enumerate(large) if t] + ["", None, "日a", large[0]]
+    a = spark.createDataFrame(list(enumerate(small)), "sid long, stext string")
+    b = spark.createDataFrame([(i, t) for i, t in enumerate(large)], "lid long, ltext string")
+    got = [tuple(r) for r in S.contained_pairs(a, b).collect()]
+    assert len(got) == len(set(got)) and set(got) == {(i, k) for i, s in enumerate(small) if s for k, t in enumerate(large) if t and s in t}
+    assert S.contained_pairs(a.limit(0), b).collect() == []
+
+
+@pytest.mark.parametrize("parts", [0, 100_000])
+def test_shared_parts_of_repeated_ids(spark, monkeypatch, parts):
+    monkeypatch.setattr(J, "PARTS", parts)
+    left = [(1, "alpha beta, gamma"), (1, "alpha delta"), (2, "beta abc"), (None, "gamma delta"), (3, None), (4, "")]
+    right = [(10, "Alpha"), (10, "BETA alpha"), (11, "gamma-delta-gamma"), (None, "gamma"), (None, "delta"), (12, None)]
+    got = sorted(map(tuple, J.shared_parts(spark.createDataFrame(left, "lid long, lname string"), spark.createDataFrame(right, "rid long, rname string")).collect()), key=str)
+    words = lambda rows, x: {w for k, t in rows if k == x and t for w in re.split("[^a-z]+", t.lower()) if len(w) > 3}
+    ids = [(a, b, len(words(left, a) & words(right, b))) for a in (1, 2, None, 3, 4) for b in (10, 11, None, 12)]
+    assert got == sorted((x for x in ids if x[2] >= 2), key=str) and len(got) == 5
