@@ -27,7 +27,7 @@ from lektura.llm.simhash import majority
 
 BANDS, ROWS = 16, 4
 SALTS = _mixed(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64))
-AT_ONCE = 2  # pairs a member that are compared at once
+AT_ONCE = 2  # pairs a member that are compared at once in the first turn; in each later one four times as many
 
 
 def shingle_sets(texts: list[str | None]) -> list[np.ndarray]:
@@ -149,8 +149,9 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         placed = cut(placed.join(each.hint("merge"), "key"))
         if placed.isEmpty():
             break
-        few = (F.col("m") * F.col("m") - F.col("q")) / 2 <= AT_ONCE * F.col("m")
-        # In turn: four times as many each time, the same ones for all keys as far as that goes.
+        # At once where that takes no more pairs a member than the turn itself. Else in turn: four times as many each time,
+        # the same ones for all keys as far as that goes.
+        few = (F.col("m") * F.col("m") - F.col("q")) / 2 <= AT_ONCE * 4.0**turn * F.col("m")
         in_turn = (F.col("lot") == F.col("first")) | (F.col("lot") * F.col("m") < (4.0**turn if turn else 0.0))
         placed = placed.withColumn("asks", F.when(few, F.col("root") != F.col("most")).otherwise(in_turn))
         a, b = (placed.select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "reach", "root", "asks")]) for x in "ab")
