@@ -80,13 +80,16 @@ def _packed(rows: DataFrame, per: int, salt: int, extra: Column | None = None) -
 
 
 def _met(anchors: DataFrame, vectors: DataFrame, blocks: int, look: Callable, schema: str) -> DataFrame:
-    """What ``look`` yields of each block of anchors and each of the ``blocks`` of vectors of their number of components."""
+    """What ``look`` yields of each block of anchors and each of the ``blocks`` of vectors of their number of components.
+
+    Packed blocks shrink to a sixth in a shuffle, by which Spark would take them for small and send them through the driver;
+    so this join, like all whose sides grow with the input, merges."""
     spread = anchors.select("dim", F.col("block").alias("of"), F.col("packed").alias("a"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
 
     def each(rows: pd.DataFrame) -> pd.DataFrame:
         return look(pickle.loads(rows["a"].iloc[0]), pickle.loads(rows["packed"].iloc[0]))
 
-    return spread.join(vectors, ["dim", "block"]).groupBy("dim", "block", "of").applyInPandas(each, schema)
+    return spread.join(vectors.hint("merge"), ["dim", "block"]).groupBy("dim", "block", "of").applyInPandas(each, schema)
 
 
 def top(rows: DataFrame, keys: list[str], k: int, score: str = "score", by: str = "id") -> DataFrame:
@@ -115,7 +118,7 @@ def hard_negatives(
     chosen = vectors.withColumns({"_anchor": is_anchor, "_label": label, "_v": F.col(vector_col)}).select(F.col(id_col).alias("_id"), "_anchor", "_label", "_v")
     rows = cut(usable(chosen, "_id", F.col("_label"), F.col("_v"), scale))
     wanted = chosen.where("_anchor").select(F.col("_id").cast("long").alias("id")).distinct()
-    anchors = cut(rows.join(wanted, "id", "left_semi"))
+    anchors = cut(rows.join(wanted.hint("merge"), "id", "left_semi"))
     blocks_of_vectors, n = _packed(rows, vector_block, 1)
     held = cut(blocks_of_vectors)
 
@@ -127,7 +130,7 @@ def hard_negatives(
     first, _ = _packed(anchors, anchor_block, 2)
     found = cut(top(_met(first, held, n, alike, "anchor long, id long, score long"), ["anchor"], positives))
     limits = found.groupBy("anchor").agg(F.sort_array(F.collect_set("score"), asc=False).alias("limits"))  # few an anchor
-    limited = anchors.join(limits.withColumnRenamed("anchor", "id"), "id")
+    limited = anchors.join(limits.withColumnRenamed("anchor", "id").hint("merge"), "id")
 
     def slotted(a: tuple, v: tuple) -> pd.DataFrame:
         score, other = scores(a[2], v[2]), a[1][:, None] != v[1][None, :]
@@ -149,7 +152,7 @@ def _windows(found: DataFrame, slots: DataFrame, limits: DataFrame, negatives: i
     """Merges each anchor's slots from the lowest limit up and answers every positive's window from the slot of its limit."""
     entry = F.struct((-F.col("score")).alias("n"), "id")
     per_slot = slots.groupBy("anchor").agg(F.collect_list(F.struct("slot", entry.alias("e"))).alias("es"))  # positives x negatives at most
-    ready = found.select("anchor", F.col("id").alias("positive_id"), F.col("score").alias("positive_score")).join(limits, "anchor").join(per_slot, "anchor")
+    ready = found.select("anchor", F.col("id").alias("positive_id"), F.col("score").alias("positive_score")).join(limits.hint("merge"), "anchor").join(per_slot.hint("merge"), "anchor")
     own = F.array_position("limits", F.col("positive_score")) - 1
     merged = ready.withColumn("own", own).select("*", F.slice(F.array_sort(F.transform(F.filter("es", lambda x: x["slot"] >= F.col("own")), lambda x: x["e"])), 1, negatives).alias("first"))
     low = F.lit(least[0]).cast("decimal(38,0)") * F.col("positive_score")

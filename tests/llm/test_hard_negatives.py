@@ -85,3 +85,15 @@ def test_best_of_either_form():
         row, column = H.best(score * big, allowed, 5)
         want = [(r, c) for r in range(40) for c in sorted(np.flatnonzero(allowed[r]), key=lambda c: (-score[r, c], c))[:5]]
         assert list(zip(row, column)) == want
+
+
+def test_nothing_that_grows_goes_through_the_driver(spark):
+    """Packed blocks shrink in a shuffle, by whose bytes they were broadcast."""
+    rng = np.random.default_rng(7)
+    rows = [(i, [float(x) for x in rng.normal(0, 1, 4)], int(rng.integers(0, 3))) for i in range(60)]
+    result = H.hard_negatives(table(spark, rows), F.col("vec_id") % 10 == 0, vector_block=20, anchor_block=3)
+    result.collect()
+    assert "Broadcast" not in result._jdf.queryExecution().executedPlan().toString()
+    vectors = spark.createDataFrame([(2, 0, b"x"), (2, 1, b"y")], "dim int, block int, packed binary")
+    met = H._met(vectors, vectors, 2, lambda a, v: None, "n int")
+    assert "SortMergeJoin" in met._jdf.queryExecution().executedPlan().toString()
