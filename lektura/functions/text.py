@@ -53,11 +53,26 @@ def nfkc_key(c: Column) -> Column:
 
 def question_key(c: Column, ascii_only: bool = False) -> Column:
     """Entities resolved, tags and a leading ``Frage:`` or number gone, lower case, letters and digits only."""
-    c = F.regexp_replace(unescaped(filled(c)), "<[^>]*>", " ")
+    return _bare(unescaped(filled(c)), ascii_only)
+
+
+def _bare(c: Column, ascii_only: bool = False) -> Column:
+    c = F.regexp_replace(c, "<[^>]*>", " ")
     c = F.lower(F.regexp_replace(c, r"^\s*(?:[Ff]rage\s*\d*\s*[:.)]|\d+\s*[.):])\s*", ""))
     if ascii_only:
         c = F.translate(c, MARKED, PLAIN)
-    return F.trim(F.regexp_replace(F.regexp_replace(c, "[^a-z0-9]+" if ascii_only else "[^a-z0-9äöüß]+", " "), " +", " "))
+    return F.trim(F.regexp_replace(c, "[^a-z0-9]+" if ascii_only else "[^a-z0-9äöüß]+", " "))
+
+
+def question_key_within(c: Column, longest: int) -> Column:
+    """False only where both question keys are longer than ``longest``, told from the beginning of the text if that suffices.
+
+    Keys grow with what follows, but for a tag that is open there, which is left out, and for a leading number that may go
+    on, where the whole text is kept. Of the letters of the one key the other may lack ``ß`` and has the rest."""
+    size, whole = longest + longest // 2 + 64, unescaped(filled(c))
+    head = F.regexp_replace(F.substring(whole, 1, size), r"<[^>]*\z", "")
+    open_ = F.regexp_replace(head, "<[^>]*>", " ").rlike(r"^\s*(?:[Ff]rage)?[\s\d]*\z")
+    return (F.length(whole) <= size) | open_ | (F.length(F.replace(_bare(head), F.lit("ß"), F.lit(""))) <= longest)
 
 
 def alnum_key(c: Column) -> Column:
